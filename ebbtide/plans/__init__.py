@@ -12,4 +12,4 @@ def catalogue():
     return ENTRIES
 
 
-MODULES = ("churn",)
+MODULES = ("churn", "ingest", "shaping")
