@@ -12,4 +12,4 @@ def catalogue():
     return ENTRIES
 
 
-MODULES = ("churn", "ingest", "shaping")
+MODULES = ("churn", "ingest", "shaping", "features")
