@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import cut, lookup
 
 _SLICE = "_slice"
 
@@ -40,7 +40,7 @@ def running(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column],
         for i in range(len(sums))])
     here = Window.partitionBy(*by, _SLICE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0)
-    joined = ranged.join(offsets, [*by, _SLICE])
+    joined = ranged.join(lookup(offsets), [*by, _SLICE])
     return joined.select(*df.columns, *[
         (F.sum(tmp[n]).over(here) + F.col(f"_off_{i}")).alias(n)
         for i, n in enumerate(sums)])
@@ -78,8 +78,7 @@ def quantile_cells(cells: DataFrame, value: str, probs: Mapping[str, float],
     r = running(cells, [F.col(value)], {"_cum": F.col("n")}, by)
     group = [F.col(b) for b in by]
     size = cells.groupBy(*group).agg(F.sum("n").alias("_size"))
-    # A handful of rows (one per group) against the ordered cells.
-    r = r.join(size, list(by)) if by else r.withColumn("_size", size.scalar())
+    r = r.join(lookup(size), list(by)) if by else r.withColumn("_size", size.scalar())
     picks = []
     for i, p in enumerate(probs.values()):
         pos = F.lit(p) * (F.col("_size") - 1)
@@ -93,6 +92,20 @@ def quantile_cells(cells: DataFrame, value: str, probs: Mapping[str, float],
         for i, name in enumerate(probs)])
 
 
+def group_sizes(df: DataFrame, by: Sequence[str], name: str = "_n") -> DataFrame:
+    """Rows per group (one row in all without groups), ready to be joined."""
+    if by:
+        return lookup(df.groupBy(*by).agg(F.count(F.lit(1)).alias(name)))
+    return df.agg(F.count(F.lit(1)).alias(name))
+
+
+def with_size(df: DataFrame, source: DataFrame, by: Sequence[str] = (),
+              name: str = "_n") -> DataFrame:
+    """Attach the number of `source` rows of each group."""
+    size = group_sizes(source, by, name)
+    return df.join(size, list(by)) if by else df.withColumn(name, size.scalar())
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: Column | int,
           by: Sequence[str] = (), flag: str = "selected") -> DataFrame:
     """Flag the first `k` rows in `order`."""

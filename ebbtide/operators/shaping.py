@@ -81,9 +81,9 @@ def arm_sample(df: DataFrame, key: str, n: int, seed: int = 0, arm: str = "t") -
     """`n` rows with the treated share kept: each arm gives round(n * its share)."""
     r = order.ranked(df.withColumn("_u", uniform(f"subsample-{seed}-", key)),
                      [F.col("_u"), F.col(key)], [arm], "_r")
-    size = df.groupBy(arm).agg(F.count(F.lit(1)).alias("_n"))
-    total = size.agg(F.sum("_n")).scalar()
-    return (r.join(size, arm).filter(F.col("_r") <= half_even(n * F.col("_n") / total))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return (order.with_size(r, df, [arm])
+            .filter(F.col("_r") <= half_even(n * F.col("_n") / total))
             .select(*df.columns))
 
 
@@ -92,8 +92,7 @@ def arm_split(df: DataFrame, key: str, test: float = 0.5, seed: int = 0, arm: st
     """Both halves keep each arm's exact share."""
     r = order.ranked(df.withColumn("_u", uniform(f"split-{seed}-", key)),
                      [F.col("_u"), F.col(key)], [arm], "_r")
-    size = df.groupBy(arm).agg(F.count(F.lit(1)).alias("_n"))
-    return (r.join(size, arm)
+    return (order.with_size(r, df, [arm])
             .withColumn(flag, F.col("_r") <= half_even(test * F.col("_n")))
             .select(*df.columns, flag))
 

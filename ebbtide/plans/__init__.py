@@ -12,4 +12,4 @@ def catalogue():
     return ENTRIES
 
 
-MODULES = ("churn", "ingest", "shaping", "features")
+MODULES = ("churn", "ingest", "shaping", "features", "uplift", "decisions", "modelling")

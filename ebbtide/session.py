@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LOOKUP_ROWS = 50_000
 
 
 def build(app: str = "ebbtide", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,3 +52,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def lookup(df: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
+    """Broadcast a small aggregate, but only after counting it; a larger one stays a shuffle join.
+
+    At most `limit` + 1 rows ever reach the driver.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
