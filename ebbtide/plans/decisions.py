@@ -93,10 +93,10 @@ a AS (SELECT *, count(*) OVER () AS n, {_T[0]} AS t0, {_T[1]} AS t1, {_T[2]} AS
   {_C[0]} AS c0, {_C[1]} AS c1, {_C[2]} AS c2, {_V[0]} AS v0,
   CASE WHEN c_nationkey % 5 <> 4 THEN {_V[1]} END AS v1, {_V[2]} AS v2 FROM c_scored),
 b AS (SELECT *, greatest(v0, v1, v2) AS best,
-  CASE WHEN v0 = greatest(v0, v1, v2) THEN 0 WHEN v1 = greatest(v0, v1, v2) THEN 1 ELSE 2 END AS at FROM a),
+  CASE WHEN v0 = greatest(v0, v1, v2) THEN 0 WHEN v1 = greatest(v0, v1, v2) THEN 1 ELSE 2 END AS pos FROM a),
 k AS (SELECT *, best > 0 AND row_number() OVER (ORDER BY best > 0 DESC, best DESC, unit) <= round_even(0.05 * n, 0) AS keep FROM b),
-rec AS (SELECT *, CASE WHEN keep THEN at ELSE -1 END AS rung, CASE WHEN keep THEN best ELSE 0 END AS expected_value,
-  CASE WHEN keep THEN round(0.9 - abs(CASE at WHEN 0 THEN t0 WHEN 1 THEN t1 ELSE t2 END), 6) ELSE 0 END AS confidence_chosen,
+rec AS (SELECT *, CASE WHEN keep THEN pos ELSE -1 END AS rung, CASE WHEN keep THEN best ELSE 0 END AS expected_value,
+  CASE WHEN keep THEN round(0.9 - abs(CASE pos WHEN 0 THEN t0 WHEN 1 THEN t1 ELSE t2 END), 6) ELSE 0 END AS confidence_chosen,
   best > 0 AND NOT keep AS budget_trimmed FROM k)"""
 
 
@@ -139,7 +139,7 @@ g AS (SELECT r.*, 0.02 * (x1 - a1) / s1 AS g1, -0.05 * (x2 - a2) / s2 AS g2, 0.0
 SELECT unit, CASE rung WHEN -1 THEN 'no offer' WHEN 0 THEN 'nudge' WHEN 1 THEN 'pause' ELSE 'discount' END AS action,
   CASE WHEN rung < 0 THEN 0 WHEN abs(g1) + abs(g2) + abs(g3) < 0.1 * 0.3 THEN 1 ELSE 3 + CAST(g1 + g2 + g3 > 0 AS INTEGER) END AS n_drivers,
   CASE WHEN rung < 0 THEN '' WHEN confidence_chosen < 0.6 THEN 'thin evidence' WHEN expected_value < 1 THEN 'gain too small' ELSE '' END AS caveat,
-  CASE WHEN rung < 0 THEN '' ELSE CASE WHEN best - coalesce(greatest(CASE WHEN at <> 0 THEN v0 END, CASE WHEN at <> 1 THEN v1 END, CASE WHEN at <> 2 THEN v2 END), -1e99) > 1
+  CASE WHEN rung < 0 THEN '' ELSE CASE WHEN best - coalesce(greatest(CASE WHEN pos <> 0 THEN v0 END, CASE WHEN pos <> 1 THEN v1 END, CASE WHEN pos <> 2 THEN v2 END), -1e99) > 1
     THEN 'clear' ELSE 'close' END END AS runner FROM g""")
 def _reasons(spark, d):
     from ..operators.effect import moments, standardised
