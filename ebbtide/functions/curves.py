@@ -24,3 +24,32 @@ def from_here(by: list[str], order: str) -> WindowSpec:
     """Window from the current row of a curve to its last one."""
     return (Window.partitionBy(*by or [F.lit(0)]).orderBy(order)
             .rowsBetween(0, Window.unboundedFollowing))
+
+
+# --- whole curves held in one array per row (no shuffle) ----------------------------
+
+def scan(a: Column, start: float, step) -> Column:
+    """Running fold of an array: [step(start, a1), step(that, a2), ...]."""
+    folded = F.aggregate(a, F.array(F.lit(start)), lambda acc, x: F.concat(
+        acc, F.array(step(F.element_at(acc, -1), x))))
+    return F.slice(folded, F.lit(2), F.greatest(F.size(a), F.lit(0)))
+
+
+def survival_from_hazard(hazard: Column) -> Column:
+    """S(1..H) from h(1..H)."""
+    return scan(hazard, 1.0, lambda s, h: s * (1.0 - h))
+
+
+def lagged(curve: Column) -> Column:
+    """The curve one step earlier, 1 before the first."""
+    return F.slice(F.concat(F.array(F.lit(1.0)), curve), F.lit(1), F.size(curve))
+
+
+def at_time(curve: Column, t: Column) -> Column:
+    """Right-continuous step lookup, 1 before the first period, flat after the last."""
+    k = F.least(F.floor(t), F.size(curve)).cast("int")
+    return F.when(k < 1, F.lit(1.0)).otherwise(F.element_at(curve, F.greatest(k, F.lit(1))))
+
+
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)

@@ -12,4 +12,5 @@ def catalogue():
     return ENTRIES
 
 
-MODULES = ("churn", "ingest", "shaping", "features", "uplift", "decisions", "modelling")
+MODULES = ("churn", "ingest", "shaping", "features", "dunning", "uplift", "decisions",
+           "survival", "modelling")
