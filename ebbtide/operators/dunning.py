@@ -8,15 +8,15 @@ of it happens inside one row's array, so the only shuffle is the final sum per p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, expit, micros, uniform
+from ..functions.columns import clip, micros, uniform
 from ..functions.curves import lagged, scan, total
-from .churn import union_all
 
 # How each decline reason behaves under retry
 # (share, ceiling, decay per attempt, follows paydays, needs a new card).
@@ -105,75 +105,119 @@ def _stamp(us: Column) -> Column:
     return F.timestamp_micros(us).cast("timestamp_ntz")
 
 
+DAY = 86_400_000_000
+TEN = 36_000_000_000
+
+
+def _next_payday_us(us: Column, day: Column, month_days: Column, config: Config) -> Column:
+    """Payday at 10:00 on or after `us`, given its day of month: plain integer arithmetic."""
+    into = F.pmod(us, F.lit(DAY))
+    ahead = month_days - day + min(config.paydays)
+    for d in sorted(config.paydays, reverse=True):
+        open_ = ((d > day) | ((F.lit(d) == day) & (into <= TEN))) & (d <= month_days)
+        ahead = F.when(open_, d - day).otherwise(ahead)
+    return us - into + ahead.cast("long") * DAY + TEN
+
+
 def next_payday(ts: Column, config: Config = Config(), min_days: Column | float = 1.0) -> Column:
     """D3: first payday at 10:00 at least `min_days` after `ts`, in this month or the next."""
     wait = min_days if isinstance(min_days, Column) else F.lit(float(min_days))
-    base_us = micros(ts) + F.round(wait * 86_400_000_000.0).cast("long")
-    base = _stamp(base_us)
-    first = F.trunc(base.cast("date"), "month")
-    ten = 36_000_000_000
+    us = micros(ts) + F.round(wait * float(DAY)).cast("long")
+    base = _stamp(us)
+    return _stamp(_next_payday_us(us, F.day(base), F.day(F.last_day(base.cast("date"))), config))
 
-    def day(month: Column, d: int) -> Column:
-        return micros(F.date_add(month, d - 1).cast("timestamp_ntz")) + F.lit(ten)
 
-    days = F.day(F.last_day(first))
-    here = F.array(*[F.when(F.lit(d) <= days, day(first, d)) for d in sorted(config.paydays)])
-    ahead = F.array_min(F.filter(here, lambda x: x >= base_us))
-    later = day(F.add_months(first, 1), min(config.paydays))
-    return _stamp(F.coalesce(ahead, later))
+def _timing(us: Column, day: Column, follows_payday: Column, config: Config) -> Column:
+    gap = F.least(*[F.least(F.abs(day - d), 31 - F.abs(day - d)) for d in config.paydays])
+    pay = config.payday_penalty + (config.payday_boost - config.payday_penalty) * F.exp(
+        -gap / 2.5)
+    hour = F.floor(F.pmod(us, F.lit(DAY)) / F.lit(3_600_000_000))
+    weekday = F.pmod(F.floor(us / F.lit(DAY)) + 3, F.lit(7))  # 1970-01-01 was a Thursday
+    open_ = (weekday < 5) & (hour >= 9) & (hour < 18)
+    return F.when(follows_payday, pay).otherwise(1.0) * F.when(
+        open_, config.hours_boost).otherwise(config.hours_penalty)
 
 
 def timing(ts: Column, follows_payday: Column, config: Config = Config()) -> Column:
     """Better near payday for codes that follow it, and slightly in business hours."""
-    day = F.day(ts)
-    gaps = F.array(*[F.least(F.abs(day - d), 31 - F.abs(day - d)) for d in config.paydays])
-    pay = config.payday_penalty + (config.payday_boost - config.payday_penalty) * F.exp(
-        -F.array_min(gaps) / 2.5)
-    open_ = (F.weekday(ts) < 5) & (F.hour(ts) >= 9) & (F.hour(ts) < 18)
-    return F.when(follows_payday, pay).otherwise(1.0) * F.when(
-        open_, config.hours_boost).otherwise(config.hours_penalty)
+    return _timing(micros(ts), F.day(ts), follows_payday, config)
 
 
-def _of_code(code: Column, values: dict[str, Column | float | bool], default) -> Column:
-    out = F.lit(default)
-    for k, v in values.items():
-        out = F.when(code == k, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
-    return out
+def _base(code: str, config: Config) -> float:
+    _, ceiling, _, _, card = CODES[code]
+    return config.updater_ceiling if config.card_updater and card else ceiling
+
+
+def _per_code(code: Column, values: dict[str, object], default) -> Column:
+    """Constant map lookup; Spark folds the map into one literal."""
+    table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, code), F.lit(default))
 
 
 def success_probability(code: Column, attempt: Column | int, ts: Column,
                         config: Config = Config()) -> Column:
     """Ceiling * decay^(attempt-1) * timing * scale, inside [0, 0.98]."""
     n = F.lit(attempt) if isinstance(attempt, int) else attempt
-    ceiling = _of_code(code, {
-        k: config.updater_ceiling if config.card_updater and v[4] else v[1]
-        for k, v in CODES.items()}, 0.0)
-    decay = _of_code(code, {k: v[2] for k, v in CODES.items()}, 1.0)
-    pay = _of_code(code, {k: v[3] for k, v in CODES.items()}, False)
+    ceiling = _per_code(code, {k: _base(k, config) for k in CODES}, 0.0)
+    decay = _per_code(code, {k: v[2] for k, v in CODES.items()}, 1.0)
+    pay = _per_code(code, {k: v[3] for k, v in CODES.items()}, False)
     return clip(ceiling * F.pow(decay, F.greatest(n - 1, F.lit(0)).cast("double"))
                 * timing(ts, pay, config) * config.scale, 0.0, 0.98)
 
 
-def attempts(code: Column, failed_at: Column, policy: Policy, config: Config = Config()
-             ) -> Column:
-    """Array of (step, retry_at, days, emails, p), one entry per scheduled attempt."""
-    longest = max((len(policy.offsets(c)) for c in CODES), default=0)
-    out = []
-    for i in range(min(longest, config.max_attempts)):
-        offset = _of_code(code, {c: float(policy.offsets(c)[i]) for c in CODES
-                                 if i < len(policy.offsets(c))}, None)
-        plain = _stamp(micros(failed_at) + F.round(offset * 86_400_000_000.0).cast("long"))
-        at = plain if not policy.payday_codes else F.when(
-            code.isin(*policy.payday_codes), next_payday(failed_at, config, offset)
-        ).otherwise(plain)
-        out.append(F.when(offset.isNotNull(), F.struct(
-            F.lit(i + 1).alias("step"), at.alias("retry_at"),
-            ((micros(at) - micros(failed_at)) / 86_400_000_000.0).alias("days"),
-            F.lit(int(i + 1 in policy.emails)).alias("emails"),
-            success_probability(code, i + 1, at, config).alias("p"))))
-    empty = F.array().cast("array<struct<step:int,retry_at:timestamp_ntz,days:double,emails:int,"
-                           "p:double>>")
-    return F.array_compact(F.array(*out)) if out else empty
+_STEP = "struct<step:int,wait:bigint,emails:int,odds:double,pay:boolean,snap:boolean>"
+
+
+def _plan(code: Column, policies: Sequence[Policy], config: Config) -> Column:
+    """What every policy schedules for a decline code, as one constant of a few dozen entries."""
+    def steps(p: Policy, c: str) -> Column:
+        _, _, decay, pay, _ = CODES[c]
+        rows = [F.struct(
+            F.lit(i + 1).alias("step"), F.lit(round(o * DAY)).cast("bigint").alias("wait"),
+            F.lit(int(i + 1 in p.emails)).alias("emails"),
+            F.lit(_base(c, config) * decay**i * config.scale).alias("odds"),
+            F.lit(pay).alias("pay"), F.lit(c in p.payday_codes).alias("snap"))
+            for i, o in enumerate(p.offsets(c)[:config.max_attempts])]
+        return F.array(*rows).cast(f"array<{_STEP}>")
+
+    def entry(c: str) -> Column:
+        return F.array(*[F.struct(F.lit(p.name).alias("policy"), steps(p, c).alias("steps"))
+                         for p in policies])
+
+    table = F.create_map(*[x for c in CODES for x in (F.lit(c), entry(c))])
+    unknown = F.array(*[F.struct(F.lit(p.name).alias("policy"),
+                                 F.array().cast(f"array<{_STEP}>").alias("steps"))
+                        for p in policies])
+    return F.coalesce(F.try_element_at(table, code), unknown)
+
+
+def _attempts(steps: Column, failed_us: Column, config: Config) -> Column:
+    """(step, us, days, emails, p) per scheduled step; each pass computes a value once."""
+    def day_of(us: Column) -> Column:
+        return F.day(_stamp(us))
+
+    due = F.transform(steps, lambda s: F.struct(s.alias("s"), (failed_us + s["wait"]).alias("us")))
+    dated = F.transform(due, lambda r: F.struct(
+        r["s"].alias("s"), r["us"].alias("us"), day_of(r["us"]).alias("day"),
+        F.day(F.last_day(_stamp(r["us"]).cast("date"))).alias("last")))
+    moved = F.transform(dated, lambda r: F.struct(r["s"].alias("s"), F.when(
+        r["s"]["snap"], _next_payday_us(r["us"], r["day"], r["last"], config)
+    ).otherwise(r["us"]).alias("us")))
+    final = F.transform(moved, lambda r: F.struct(
+        r["s"].alias("s"), r["us"].alias("us"), day_of(r["us"]).alias("day")))
+    return F.transform(final, lambda r: F.struct(
+        r["s"]["step"].alias("step"), r["us"].alias("us"),
+        ((r["us"] - failed_us) / float(DAY)).alias("days"), r["s"]["emails"].alias("emails"),
+        clip(r["s"]["odds"] * _timing(r["us"], r["day"], r["s"]["pay"], config), 0.0, 0.98)
+        .alias("p")))
+
+
+def expand(failures: DataFrame, policies: Sequence[Policy], config: Config = Config(),
+           code: str = "code", at: str = "failed_at") -> DataFrame:
+    """Each failure once per policy, with its array of attempts. One scan, no join."""
+    planned = failures.select("*", F.explode(_plan(F.col(code), policies, config)).alias("_p"))
+    return planned.select(*failures.columns, F.col("_p.policy").alias("policy"),
+                          _attempts(F.col("_p.steps"), micros(at), config).alias("_a"))
 
 
 def lifetime_months(hazard: Column | float, horizon: int) -> Column:
@@ -182,18 +226,18 @@ def lifetime_months(hazard: Column | float, horizon: int) -> Column:
     return (1.0 - F.pow(1.0 - h, F.lit(float(horizon)))) / h
 
 
-def expectations(failures: DataFrame, policy: Policy, config: Config = Config(),
-                 code: str = "code", at: str = "failed_at") -> DataFrame:
-    """Per failure the expected recovery, attempts, emails and days under one policy."""
-    d = failures.withColumn("_a", attempts(F.col(code), F.col(at), policy, config))
-    miss = scan(F.transform("_a", lambda a: 1.0 - a["p"]), 1.0, lambda t, x: t * x)
-    d = d.withColumn("_reach", lagged(miss))
-    won = F.zip_with("_a", "_reach", lambda a, r: a["p"] * r)
-    d = d.withColumn("_won", won)
-    sent = scan(F.transform("_a", lambda a: a["emails"].cast("double")), 0.0, lambda t, x: t + x)
-    return d.withColumn("_sent", sent).select(
-        *failures.columns, F.lit(policy.name).alias("policy"), "_a", "_reach", "_won", "_sent",
-        total(F.col("_won")).alias("recovery"), total(F.col("_reach")).alias("attempts"),
+def expectations(failures: DataFrame, policies: Policy | Sequence[Policy],
+                 config: Config = Config()) -> DataFrame:
+    """Per failure and policy the expected recovery, attempts, emails and days."""
+    policies = [policies] if isinstance(policies, Policy) else policies
+    d = expand(failures, policies, config)
+    d = d.withColumn("_reach", lagged(scan(F.transform("_a", lambda a: 1.0 - a["p"]), 1.0,
+                                           lambda t, x: t * x)))
+    d = d.withColumn("_won", F.zip_with("_a", "_reach", lambda a, r: a["p"] * r))
+    d = d.withColumn("_sent", scan(F.transform("_a", lambda a: a["emails"].cast("double")), 0.0,
+                                   lambda t, x: t + x))
+    return d.select(
+        "*", total(F.col("_won")).alias("recovery"), total(F.col("_reach")).alias("attempts"),
         total(F.zip_with("_a", "_reach", lambda a, r: a["emails"] * r)).alias("emails"),
         total(F.zip_with("_a", "_won", lambda a, w: a["days"] * w)).alias("days_recovered"))
 
@@ -203,14 +247,14 @@ def schedule(failures: DataFrame, policy: Policy, keep: Sequence[str],
     """D6 as rows: every scheduled attempt with its time, odds and chance of being reached."""
     e = expectations(failures, policy, config)
     return e.select(*keep, "policy", F.explode(F.arrays_zip("_a", "_reach")).alias("r")).select(
-        *keep, "policy", "r._a.step", "r._a.retry_at", "r._a.p",
+        *keep, "policy", "r._a.step", _stamp(F.col("r._a.us")).alias("retry_at"), "r._a.p",
         F.col("r._reach").alias("reach"))
 
 
 def realise(failures: DataFrame, policy: Policy, key: str, seed: int = 0,
             config: Config = Config()) -> DataFrame:
     """One realisation, each attempt succeeding when a keyed hash falls below its odds."""
-    d = failures.withColumn("_a", attempts(F.col("code"), F.col("failed_at"), policy, config))
+    d = expand(failures, [policy], config)
 
     def wins(a: Column) -> Column:
         salt = F.concat(F.col(key).cast("string"), F.lit("-"), a["step"].cast("string"))
@@ -218,50 +262,70 @@ def realise(failures: DataFrame, policy: Policy, key: str, seed: int = 0,
 
     d = d.withColumn("_w", F.array_min(F.transform(
         F.filter("_a", wins), lambda a: F.struct(a["step"].alias("s"), a["days"].alias("d")))))
-    tried = F.filter("_a", lambda a: F.col("_w").isNull() | (a["step"] <= F.col("_w.s")))
-    return d.select(*failures.columns, F.lit(policy.name).alias("policy"),
-                    F.col("_w").isNotNull().alias("recovered"), F.size(tried).alias("attempts"),
-                    F.aggregate(tried, F.lit(0), lambda t, a: t + a["emails"]).alias("emails"),
+    d = d.withColumn("_t", F.filter("_a", lambda a: F.col("_w").isNull()
+                                    | (a["step"] <= F.col("_w.s"))))
+    return d.select(*failures.columns, "policy", F.col("_w").isNotNull().alias("recovered"),
+                    F.size("_t").alias("attempts"),
+                    F.aggregate("_t", F.lit(0), lambda t, a: t + a["emails"]).alias("emails"),
                     F.col("_w.d").alias("days_to_recovery"))
 
 
-def evaluate(failures: DataFrame, policy: Policy, config: Config = Config(),
-             econ: Economics = Economics()) -> DataFrame:
-    """One policy in money, as one row.
+def _lost_months(config: Config, econ: Economics, fatigue: float) -> Column:
+    """Expected months lost to the emails sent before each possible recovery.
 
-    Recovery at attempt k comes with a known number of emails, so the loss of lifetime from
-    fatigue is summed attempt by attempt and is exact although it is not linear in emails.
+    Recovery at attempt k comes with a known number of emails, so the loss is summed attempt by
+    attempt and is exact although it is not linear in emails. Emails are few, so the months
+    left after each count are constants.
     """
-    e = expectations(failures, policy, config)
-    margin = F.col("amount") * econ.margin
-    base = lifetime_months(econ.monthly_churn, econ.horizon)
-    p0 = econ.monthly_churn
-    log_odds = F.ln(F.lit(p0 / (1 - p0)))
-
-    def months_after(sent: Column) -> Column:
-        return lifetime_months(expit(log_odds + sent * config.fatigue_per_email), econ.horizon)
-
-    kept = total(F.zip_with("_won", "_sent", lambda w, s: w * months_after(s)))
-    per = e.select("recovery", "attempts", "emails",
-                   (margin * base * F.col("recovery")).alias("retained"),
-                   (margin * (base * F.col("recovery") - kept)).alias("lost"))
-    a = per.agg(F.avg("recovery").alias("recovery_rate"),
-                F.avg("attempts").alias("attempts_per_failure"),
-                F.avg("emails").alias("emails_per_failure"),
-                F.sum("retained").alias("clv_retained"), F.sum("lost").alias("clv_lost_to_fatigue"),
-                (F.sum("attempts") * econ.cost_per_attempt
-                 + F.sum("emails") * econ.cost_per_email).alias("operational_cost"))
-    return a.select(F.lit(policy.name).alias("policy"), "*", (
-        F.col("clv_retained") - F.col("clv_lost_to_fatigue") - F.col("operational_cost"))
-        .alias("net_value"))
+    def months(h: float) -> float:
+        h = min(max(h, 1e-6), 0.999)
+        return (1.0 - (1.0 - h) ** econ.horizon) / h
+
+    log_odds = math.log(econ.monthly_churn / (1 - econ.monthly_churn))
+    base = months(econ.monthly_churn)
+    lost = F.array(*[F.lit(base - months(1 / (1 + math.exp(-(log_odds + n * fatigue)))))
+                     for n in range(config.max_attempts + 1)])
+    return total(F.zip_with("_won", "_sent",
+                            lambda w, n: w * F.element_at(lost, n.cast("int") + 1)))
+
+
+def _cells(failures: DataFrame) -> DataFrame:
+    """Failures counted and summed per decline code and moment.
+
+    The odds depend on nothing else and money is linear in the amount, so the work that follows
+    grows with distinct moments and not with failures.
+    """
+    return failures.groupBy("code", "failed_at").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+
+
+def evaluate(failures: DataFrame, policies: Policy | Sequence[Policy],
+             config: Config = Config(), econ: Economics = Economics()) -> DataFrame:
+    """Policies in money, one row each, from a single scan of the failures."""
+    e = expectations(_cells(failures), policies, config)
+    margin, n = F.col("amount") * econ.margin, F.col("n")
+    per = e.select(
+        "policy", "n", *[(F.col(c) * n).alias(c) for c in ("recovery", "attempts", "emails")],
+        (margin * lifetime_months(econ.monthly_churn, econ.horizon) * F.col("recovery"))
+        .alias("retained"),
+        (margin * _lost_months(config, econ, config.fatigue_per_email)).alias("lost"))
+    size = F.sum("n")
+    a = per.groupBy("policy").agg(
+        (F.sum("recovery") / size).alias("recovery_rate"),
+        (F.sum("attempts") / size).alias("attempts_per_failure"),
+        (F.sum("emails") / size).alias("emails_per_failure"),
+        F.sum("retained").alias("clv_retained"), F.sum("lost").alias("clv_lost_to_fatigue"),
+        (F.sum("attempts") * econ.cost_per_attempt
+         + F.sum("emails") * econ.cost_per_email).alias("operational_cost"))
+    return a.withColumn("net_value", F.col("clv_retained") - F.col("clv_lost_to_fatigue")
+                        - F.col("operational_cost"))
 
 
 def compare(failures: DataFrame, policies: Sequence[Policy] = POLICIES,
             config: Config = Config(), econ: Economics = Economics(),
             against: str = DEFAULT.name) -> DataFrame:
-    """Every policy next to the reference one. A policy is a projection of the failures,
-    so nothing is joined; the outcome has one row per policy."""
-    rows = union_all([evaluate(failures, p, config, econ) for p in policies])
+    """Every policy next to the reference one; one row per policy from here on."""
+    rows = evaluate(failures, policies, config, econ)
     ref = F.max(F.when(F.col("policy") == against, F.struct("recovery_rate", "net_value")))
     every = rows.agg(ref.alias("ref"), F.collect_list(F.struct(*rows.columns)).alias("r"))
     return every.select("ref", F.explode("r").alias("r")).select(
@@ -272,7 +336,16 @@ def compare(failures: DataFrame, policies: Sequence[Policy] = POLICIES,
 def fatigue_sweep(failures: DataFrame, values: Sequence[float],
                   policies: Sequence[Policy] = (QUIET, AGGRESSIVE),
                   config: Config = Config(), econ: Economics = Economics()) -> DataFrame:
-    """Net value of each policy as the cost of an email grows."""
-    return union_all([evaluate(failures, p, replace(config, fatigue_per_email=float(f)), econ)
-                      .select(F.lit(float(f)).alias("fatigue"), "policy", "net_value")
-                      for f in values for p in policies])
+    """Net value of each policy as the cost of an email grows; one scan for the grid."""
+    e = expectations(_cells(failures), policies, config)
+    margin = F.col("amount") * econ.margin
+    base = margin * lifetime_months(econ.monthly_churn, econ.horizon) * F.col("recovery") - (
+        F.col("attempts") * econ.cost_per_attempt
+        + F.col("emails") * econ.cost_per_email) * F.col("n")
+    a = e.groupBy("policy").agg(*[
+        F.sum(base - margin * _lost_months(config, econ, float(v))).alias(f"v{i}")
+        for i, v in enumerate(values)])
+    grid = F.array(*[F.struct(F.lit(float(v)).alias("fatigue"), F.col(f"v{i}").alias("net_value"))
+                     for i, v in enumerate(values)])
+    return a.select("policy", F.explode(grid).alias("r")).select("r.fatigue", "policy",
+                                                                  "r.net_value")

@@ -13,4 +13,4 @@ def catalogue():
 
 
 MODULES = ("churn", "ingest", "shaping", "features", "dunning", "uplift", "decisions",
-           "survival", "modelling")
+           "survival", "streams", "modelling")
