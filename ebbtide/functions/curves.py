@@ -28,11 +28,23 @@ def from_here(by: list[str], order: str) -> WindowSpec:
 
 # --- whole curves held in one array per row (no shuffle) ----------------------------
 
-def scan(a: Column, start: float, step) -> Column:
-    """Running fold of an array: [step(start, a1), step(that, a2), ...]."""
-    folded = F.aggregate(a, F.array(F.lit(start)), lambda acc, x: F.concat(
+_ALL = 2**31 - 1
+
+
+def fold(a: Column, start: float, step) -> Column:
+    """[start, step(start, a1), step(that, a2), ...]; the array is evaluated once."""
+    return F.aggregate(a, F.array(F.lit(start)), lambda acc, x: F.concat(
         acc, F.array(step(F.element_at(acc, -1), x))))
-    return F.slice(folded, F.lit(2), F.greatest(F.size(a), F.lit(0)))
+
+
+def scan(a: Column, start: float, step) -> Column:
+    """The fold after each element."""
+    return F.slice(fold(a, start, step), 2, _ALL)
+
+
+def scan_before(a: Column, start: float, step, size: Column) -> Column:
+    """The fold before each element; `size` is the number of elements."""
+    return F.slice(fold(a, start, step), F.lit(1), size)
 
 
 def survival_from_hazard(hazard: Column) -> Column:

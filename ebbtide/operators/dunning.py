@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, micros, uniform
-from ..functions.curves import lagged, scan, total
+from ..functions.curves import scan, scan_before, total
 
 # How each decline reason behaves under retry
 # (share, ceiling, decay per attempt, follows paydays, needs a new card).
@@ -231,8 +231,8 @@ def expectations(failures: DataFrame, policies: Policy | Sequence[Policy],
     """Per failure and policy the expected recovery, attempts, emails and days."""
     policies = [policies] if isinstance(policies, Policy) else policies
     d = expand(failures, policies, config)
-    d = d.withColumn("_reach", lagged(scan(F.transform("_a", lambda a: 1.0 - a["p"]), 1.0,
-                                           lambda t, x: t * x)))
+    d = d.withColumn("_reach", scan_before(
+        F.transform("_a", lambda a: 1.0 - a["p"]), 1.0, lambda t, x: t * x, F.size("_a")))
     d = d.withColumn("_won", F.zip_with("_a", "_reach", lambda a, r: a["p"] * r))
     d = d.withColumn("_sent", scan(F.transform("_a", lambda a: a["emails"].cast("double")), 0.0,
                                    lambda t, x: t + x))
@@ -293,10 +293,13 @@ def _cells(failures: DataFrame) -> DataFrame:
     """Failures counted and summed per decline code and moment.
 
     The odds depend on nothing else and money is linear in the amount, so the work that follows
-    grows with distinct moments and not with failures.
+    grows with distinct moments and not with failures. The cells are few bytes but much
+    arithmetic, so they are not left to size-based coalescing.
     """
-    return failures.groupBy("code", "failed_at").agg(
+    cells = failures.groupBy("code", "failed_at").agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    parts = int(failures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, "failed_at")
 
 
 def evaluate(failures: DataFrame, policies: Policy | Sequence[Policy],

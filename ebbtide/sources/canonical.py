@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import MONTH_DAYS, days_between, uniform
 from ..schema import Dataset
+from ..session import spread
 
 TRIAL = "trial-v1"
 CUTOFF = "2000-01-01"
@@ -119,7 +120,7 @@ def dataset(spark: SparkSession, folder: str) -> Dataset:
 
 def survival(spark: SparkSession, folder: str) -> DataFrame:
     """(unit, cell, x1, x2, duration 1..24, event): 0 active, 1 voluntary, 2 payment."""
-    s = subscriptions(spark, folder)
+    s = spread(subscriptions(spark, folder))  # curves and expansions follow
     end = s.select(F.max(F.greatest("started_at", F.coalesce("ended_at", "started_at")))
                    .alias("e")).scalar()
     days = days_between("started_at", F.coalesce("ended_at", end))
