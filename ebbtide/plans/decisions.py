@@ -472,7 +472,7 @@ s AS (SELECT *, p - q AS lift, sqrt(p * (1 - p) / nt + q * (1 - q) / nh) AS se F
 SELECT nt AS n_treated, nh AS n_holdout, round(p, 6) AS retention_treated, round(q, 6) AS retention_holdout, round(lift, 6) AS lift,
   round(lift - {Z!r} * se, 6) AS lift_low, round(lift + {Z!r} * se, 6) AS lift_high, round(lift * v * nt - 0.5 * nt, 4) AS incremental_value,
   round((lift - {Z!r} * se) * v * nt - 0.5 * nt, 4) AS value_low, round((lift + {Z!r} * se) * v * nt - 0.5 * nt, 4) AS value_high,
-  round(0.5 * nt, 4) AS cost, round(abs(lift / se), 6) AS z, CASE WHEN nh < 30 OR nt < 30 THEN 'TOO SMALL' WHEN abs(lift / se) <= {Z!r}
+  round(0.5::DOUBLE * nt, 4) AS cost, round(abs(lift / se), 6) AS z, CASE WHEN nh < 30 OR nt < 30 THEN 'TOO SMALL' WHEN abs(lift / se) <= {Z!r}
   THEN 'NOT DISTINGUISHABLE FROM ZERO' WHEN lift > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS verdict FROM s""")
 def _incrementality(spark, d):
     m = holdout.incrementality(outcomes(spark, d), cost=0.5)
