@@ -6,11 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import DAY_US, MONTH_DAYS, days_between, whole_days
 from ..functions.curves import from_here, running_product, up_to
 from ..functions.money import label
 from ..schema import Dataset
+from ..session import cut
 from .interval import exists_within
 from .preflight import resolve_currency
 
@@ -43,14 +45,21 @@ def failures(invoices: DataFrame, days: int = RECOVERY_DAYS) -> DataFrame:
                          1, days * DAY_US, "recovered")
 
 
+def written_failures(invoices: DataFrame) -> DataFrame:
+    """A5 written once, for analyses that read it several times."""
+    return cut(failures(invoices).select("customer_id", "attempted_at", "amount",
+                                         "failure_code", "recovered"))
+
+
 def decline_mix(failed: DataFrame) -> DataFrame:
     """Failures by reason; empty when no failure carries a code."""
     mix = failed.groupBy(F.coalesce("failure_code", F.lit("unknown")).alias("code")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"),
         F.avg(F.col("recovered").cast("double")).alias("recovery_rate"),
         F.count("failure_code").alias("_coded"))
-    coded = mix.agg(F.sum("_coded")).scalar()
-    return mix.filter(coded > 0).drop("_coded")
+    # One row per reason from here on, so looking at all of them costs nothing.
+    every = F.sum("_coded").over(Window.partitionBy(F.lit(0)))
+    return mix.withColumn("_any", every).filter("_any > 0").drop("_coded", "_any")
 
 
 def payments(failed: DataFrame) -> DataFrame:
@@ -119,9 +128,9 @@ def annualise(amount: Column, days: Column) -> Column:
     return F.when(days <= 0, amount).otherwise(amount * 365.0 / days)
 
 
-def metrics(ds: Dataset) -> DataFrame:
+def metrics(ds: Dataset, failed: DataFrame | None = None) -> DataFrame:
     """A1-A12 as one row. What was not measured is NULL, never 0."""
-    failed = failures(ds.invoices)
+    failed = written_failures(ds.invoices) if failed is None else failed
     gone = involuntary(ds.subscriptions, failed)
     supplied = ds.invoices.select("invoice_id").limit(1).agg(F.count(F.lit(1))).scalar()
     pay = payments(failed).select(F.struct("*")).scalar()

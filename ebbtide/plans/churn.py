@@ -152,8 +152,8 @@ UNION ALL SELECT 'top_decline_code', code, true,
 UNION ALL SELECT 'annual_churn_cost', NULL, true, round(c, 2) FROM cost""")
 def _findings(spark, d):
     ds = src.dataset(spark, d)
-    mix = churn.decline_mix(churn.failures(ds.invoices))
-    return churn.findings(churn.metrics(ds), mix).select(
+    failed = churn.written_failures(ds.invoices)
+    return churn.findings(churn.metrics(ds, failed), churn.decline_mix(failed)).select(
         "finding", "subject", F.round("annual_value", 2).alias("annual_value"), "measured")
 
 
@@ -374,7 +374,7 @@ def _preflight(spark, d):
 
 
 @query("preflight_broken_export", "P1 P2 P3 P4 P5 P6 P7 P8 P9 P10 P11", """
-SELECT 'BLOCKED' AS verdict, CAST(8 AS BIGINT) AS n_checks, CAST(count(DISTINCT customer_id) AS BIGINT)
+SELECT 'BLOCKED' AS verdict, CAST(CASE WHEN count(*) < 250 THEN 9 ELSE 8 END AS BIGINT) AS n_checks, CAST(count(DISTINCT customer_id) AS BIGINT)
   AS n_customers, (SELECT count(*) FROM c_subs) AS n_subscriptions,
   (SELECT round(date_diff('day', min(started_at), max(started_at)) / 30.44, 6) FROM c_subs)
     AS window_months FROM c_customers""")
