@@ -55,7 +55,8 @@ class FeatureSpec:
                            > micros("as_of") - self.window_days * DAY_US)
         clock = table.occurred_at
         if self.kind == "count":
-            return F.count(F.when(cond, 1)).cast("double")
+            n = F.count(F.when(cond, 1))
+            return F.when(n > 0, n.cast("double"))  # no matching row: the fill applies
         if self.kind in ("recency_days", "age_days"):
             seen = F.col(clock if self.kind == "recency_days" else self.column or clock)
             pick = F.max if self.kind == "recency_days" else F.min

@@ -59,7 +59,7 @@ def checks(ds: Dataset, now: dt.datetime) -> DataFrame:
     ended = F.col("n_ended") / F.col("n_subscriptions")
     dated = F.col("first_start").isNotNull()
     high = F.col("median_mrr") > HIGH_PRICE
-    declared = F.lit(ds.declared) if ds.declared else F.lit(None).cast("string")
+    declared = currency_code(F.lit(ds.declared))
     found = [
         _row("money_units", F.when(F.col("n_priced") == 0, "block")
              .when(high & F.col("all_whole"), "block").when(high, "warn").otherwise("ok"),

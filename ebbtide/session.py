@@ -64,19 +64,11 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, split: int = 16 << 20) -> DataFrame:
     """Give a compute-heavy projection all cores when its input is a few small files.
 
-    A file with one row group is one task however many cores wait. Inputs of `split` bytes per
-    core or more have enough splits of their own and are left alone.
+    A file with one row group is one task however many cores wait. The planner's own size
+    estimate decides: inputs of `split` bytes per core or more have enough splits of their own.
     """
-    spark = df.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if len(files) >= cores:
-        return df
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    size = 0
-    for f in files:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * split else df
 
 

@@ -43,6 +43,12 @@ def test_kinds(spark, day, kind, column, want):
     assert one(spark, ds, spec, day(10), who="b") == -1.0
 
 
+def test_count_takes_the_fill_when_nothing_matches(spark, day):
+    ds = tenant(spark, [("a", "x", day(0), day(0), 1.0)])
+    spec = ft.FeatureSpec("n", "events", "count", where={"name": "y"}, fill=-5.0)
+    assert one(spark, ds, spec, day(10)) == -5.0
+
+
 def test_unknown_kind_and_mode():
     with pytest.raises(ValueError):
         ft.FeatureSpec("f", "events", "median")

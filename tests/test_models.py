@@ -134,6 +134,11 @@ def test_profit_curve_by_hand(spark):
     assert campaign.choose_fraction(campaign.profit_curve(six(spark))).first()["fraction"] == 0.0
 
 
+def test_unrankable_customers_are_refused(spark):
+    with pytest.raises(ValueError, match="finite"):
+        campaign.profit_curve(six(spark).withColumn("score", F.lit(None).cast("double")))
+
+
 def test_profit_boosting_follows_the_profit(spark):
     d = spark.range(600).select(F.col("id").alias("unit"), (uniform("b", "id") * 2 - 1).alias("x"))
     d = d.withColumn("profit", F.col("x") * 10)

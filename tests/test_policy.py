@@ -77,6 +77,15 @@ def test_incrementality_needs_both_sides(spark):
     assert small == "TOO SMALL"
 
 
+def test_unmeasurable_campaigns_are_refused(spark):
+    d = spark.createDataFrame([(True, 1.0), (False, 1.0)], "held_out boolean, value double")
+    assert holdout.require_measurable(d) is d
+    with pytest.raises(ValueError, match="both arms"):
+        holdout.require_measurable(d.filter("held_out"))
+    with pytest.raises(ValueError, match="negative"):
+        holdout.require_measurable(d.withColumn("value", F.lit(-1.0)))
+
+
 def test_budget_rounds_half_to_even_and_keeps_the_gate(spark):
     d = spark.createDataFrame([(i, i % 2 == 0, float(i)) for i in range(5)],
                               "unit int, ok boolean, money double")
