@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import licenses, mixing, near, quality, reshard, spotsigs, urls, wfst
+from . import licenses, lm, mixing, near, passages, quality, reshard, spotsigs, urls, wfst
 from .common import table
 
 SHARDS = 24
@@ -57,6 +57,16 @@ def op7_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(prepare(spark), folder, "documents"))
 
 
+def op8_pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probabilities of all documents, learnt from four fifths of them."""
+    return lm.score(table(prepare(spark), folder, "documents"))
+
+
+def op9_compact_window_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more that several documents share."""
+    return passages.repeats(table(prepare(spark), folder, "documents"))
+
+
 def op10_license_windows(spark: SparkSession, folder: str) -> DataFrame:
     """License templates in windows of all documents."""
     return licenses.scan(table(prepare(spark), folder, "documents"))
@@ -66,7 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_spotsigs, op2_min_cost_flow_resharding, op3_path_template_filter,
         op4_sentencepiece_transducer, op5_cube_mixing, op6_chosen_path_near_dedup,
-        op7_robust_outliers, op10_license_windows)}
+        op7_robust_outliers, op8_pitman_yor_scores, op9_compact_window_passages,
+        op10_license_windows)}
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -51,12 +51,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0]:o[-1]], o - o[0]
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, offsets) of successive runs of texts of about CHUNK bytes."""
+def chunks(column: pa.Array, size: int = CHUNK
+           ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, offsets) of successive runs of texts of about `size` bytes."""
     raw, offs = buffers(column)
     at, n = 0, len(offs) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
         yield at, to, raw[offs[at]:offs[to]], offs[at:to + 1] - offs[at]
         at = to
 
@@ -106,7 +107,7 @@ def shingles(words: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarr
     n, many = len(words), np.diff(at)
     full = np.zeros(max(0, n - size + 1), U)
     for k in range(size):
-        full += words[k:n - size + 1 + k] * _STEP[k]
+        full += words[k:k + len(full)] * _STEP[k]
     counts = np.where(many >= size, many - size + 1, np.minimum(many, 1))
     to = np.zeros(len(at), np.int64)
     np.cumsum(counts, out=to[1:])
