@@ -1,17 +1,20 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 Documents with equal shingle sets are one class; one representative goes on. Each of `TREES`
-independent trees puts the representatives into nodes by one min-wise coordinate. A node of at
-most `SMALL` members is compared exhaustively; a larger one compares all members with a leader and
-is then branched: two coordinates chosen for the node send every member into two child nodes.
-Branching ends where a node is small, or where all its members are already connected. A pair of
-similarity 0.75 stays together at a branch with probability 0.94 and meets in one tree with 0.7 or
-more, so it is missed by all trees with a probability of about 1e-6.
-
-A comparison first reads the signatures; those that agree in `LEAST` of `COORDINATES` or more are
-confirmed on the full sets. A leader joins a group of copies without forming its pairs, and the
-next leader of a node is taken from its rarer members, so links between groups are kept. Nodes
-that are still large after `LEVELS` branchings are compared member by member across groups.
+independent trees puts the representatives into nodes by one min-wise coordinate. The members of a
+small node are compared with each other. In a larger one all members are first compared with a
+leader, the member that shares most min-wise values with the others, which joins a group of copies
+without forming its pairs. The nodes of one leader form a cluster, and where a cluster is not
+connected by then, its members outside the main group are compared with all others: up to
+`BRANCH_ABOVE` members exhaustively in blocks, beyond by branching the cluster again, two
+coordinates sending every member into two child nodes, `LEVELS` times at most before the blocks.
+A pair of similarity 0.75 meets in a node with probability 0.75 a tree, so it is missed by all
+trees with a probability below 1e-7 (1e-4 where clusters branch on).
+
+Pairs of small nodes and leaders are first read from the signatures; those that agree in `LEAST`
+of `COORDINATES` or more are confirmed on the full sets (a pair of similarity 0.75 agrees in fewer
+with a probability of 3e-4). Blocks compare full sets by a matrix product and return components,
+never pairs.
 
 Hot nodes are counted and given their leader by sums combined before the shuffle, and their
 members meet the leader in a join that adaptive execution splits. Texts are read once for
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -36,8 +39,10 @@ from .links import components
 from .tokens import U, Words, chunks, distinct, mix, shingles
 
 SHINGLE, PERCENT = 5, 75
-TREES, COORDINATES, LEAST = 12, 64, 32
-SMALL, LEVELS, BRANCHES = 12, 6, 2
+TREES, COORDINATES, LEAST = 12, 64, 36
+SMALL, LEVELS, BRANCHES = 12, 3, 2
+#: Clusters beyond this size branch on; parts of a block, and columns of its matrix at a time.
+BRANCH_ABOVE, BLOCK, COLUMNS = 20_000, 700, 4096
 _rng = np.random.default_rng(20_240_229)
 _FACTOR = (_rng.integers(0, 1 << 32, COORDINATES, np.uint32) | np.uint32(1))
 _SHIFT = _rng.integers(0, 1 << 32, COORDINATES, np.uint32)
@@ -111,16 +116,79 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         run, "a long, b long")
 
 
-def _alike(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in LEAST coordinates or more."""
-    sa = signs.select(F.col("doc_id").alias("a"), F.col("signs").alias("_sa"))
-    sb = signs.select(F.col("doc_id").alias("b"), F.col("signs").alias("_sb"))
-    agree = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda same: same))
-    return pairs.join(sa, "a").join(sb, "b").filter(agree >= LEAST).select("a", "b")
+def _agree() -> Column:
+    """Whether two signatures agree in LEAST coordinates or more."""
+    same = F.zip_with("signs", "other_signs", lambda x, y: x == y)
+    return F.size(F.filter(same, lambda equal: equal)) >= LEAST
+
+
+def _popularity(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """How many members share a document's min-wise values, over all coordinates.
+
+    The text that copies were made from has more in common with them than they among themselves.
+    """
+    values = reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        "doc_id", F.posexplode("signs").alias("_k", "_v"))
+    often = values.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return values.join(often, ["_k", "_v"]).groupBy("doc_id").agg(F.sum("_n").alias("popularity"))
+
 
+def _deal(clusters: DataFrame) -> DataFrame:
+    """Deal the members (leader, doc_id, outside, n_out, n_main) of clusters into blocks (leader,
+    i, j) so that a member outside the main group meets every other member in some block.
+
+    Members of the main group, which are connected already, are only dealt to meet the others.
+    """
+    ceil = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    place = F.when(F.col("outside"), F.pmod(F.xxhash64("doc_id"), F.col("_out"))).otherwise(
+        F.col("_out") + F.pmod(F.xxhash64("doc_id"), F.col("_main")))
+    # Who stands outside meets all parts, the main group meets the parts outside; a part is
+    # compared in itself whenever it meets another.
+    meets = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("_out") + F.col("_main") - 1)
+                   ).otherwise(F.sequence(F.lit(0), F.col("_out") - 1))
+    return clusters.withColumn("_out", ceil(F.col("n_out"))).withColumn(
+        "_main", F.when(F.col("n_main") > 0, ceil(F.col("n_main"))).otherwise(F.lit(0))).withColumn(
+        "_at", place.cast("int")).select(
+        "leader", "doc_id", "_at", F.explode(F.filter(meets, lambda k: (k != F.col("_at")) | (
+            F.col("_out") + F.col("_main") == 1))).alias("_with")).select(
+        "leader", "doc_id", F.least("_at", "_with").alias("i"), F.greatest("_at", "_with").alias("j"))
 
-def _ordered(x: str, y: str):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+def _connected(block: pa.Table) -> pa.Table:
+    """The confirmed components of one block, each as links to its first member.
+
+    The sizes of all intersections are one product of the matrix of members and shingles, taken
+    over a bounded number of the shingles that several members have at a time.
+    """
+    ids = block.column("doc_id").to_numpy()
+    texts = block.column("text").combine_chunks()
+    sets: list[np.ndarray] = []
+    for _, _, raw, offs in chunks(texts if isinstance(texts, pa.Array) else texts.chunk(0)):
+        values, at = shingle_sets(raw, offs)
+        sets += np.split(values, at[1:-1])
+    n = len(ids)
+    size = np.array([len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    owner = np.repeat(np.arange(n), size)[shared[column]]
+    column = (np.cumsum(shared) - 1)[column[shared[column]]]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        inside = (column >= lo) & (column < lo + COLUMNS)
+        member = np.zeros((n, COLUMNS), np.float32)
+        member[owner[inside], column[inside] - lo] = 1
+        both += member @ member.T
+    linked = (100 * both >= PERCENT * (size[:, None] + size[None, :] - both)) & (both > 0)
+    first = np.arange(n)
+    while True:
+        lower = np.minimum(first, np.where(linked, first[None, :], n).min(1, initial=n))
+        if (lower == first).all():
+            break
+        first = lower
+    other = np.flatnonzero(first != np.arange(n))
+    a, b = ids[other], ids[first[other]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)},
+                    schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -130,64 +198,76 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     stands for no link.
     """
     rows = reps.select("doc_id", F.posexplode(F.slice("signs", 1, TREES)).alias("_t", "_v")).select(
-        "doc_id", F.xxhash64("_t", "_v").alias("node"))
-    groups: DataFrame | None = None  # (id, component) of what is connected so far
+        "doc_id", F.xxhash64("_t", "_v").alias("node"), F.col("doc_id").alias("component"))
     edges: DataFrame | None = None
-    asked: DataFrame | None = None
     texts: DataFrame | None = None
+    popular: DataFrame | None = None
     for level in range(LEVELS + 1):
-        if groups is not None:
-            rows = rows.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id",
-                             "left").withColumn("component", F.coalesce("component", "doc_id"))
-        else:
-            rows = rows.withColumn("component", F.col("doc_id"))
-        share = rows.groupBy("node", "component").agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(F.struct(F.xxhash64("doc_id", F.lit(level)), F.col("doc_id").alias("id")))
-            .alias("_l"))
-        # The leader comes from the smallest group of a node, by hash where groups are equal.
+        # Nodes whose members are all connected are done.
+        share = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_n"))
         nodes = share.groupBy("node").agg(
-            F.sum("_n").alias("_members"), F.count(F.lit(1)).alias("_groups"),
-            F.min(F.struct("_n", F.col("_l"))).alias("_m")).filter("_groups > 1").select(
-            "node", "_members", F.col("_m._l.id").alias("_leader"))
-        open_ = stored(rows.join(nodes, "node"), "nodes")
+            F.sum("_n").alias("_members"), F.count(F.lit(1)).alias("_groups")).filter(
+            "_groups > 1").drop("_groups")
+        open_ = stored(rows.join(nodes, "node").join(reps, "doc_id"), "nodes")
         large = open_.filter(F.col("_members") > SMALL)
-        if level == LEVELS:
-            members = open_.select("node", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-        else:
-            members = open_.filter(F.col("_members") <= SMALL).select(
-                "node", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-        # Small nodes: every pair of two groups, at most SMALL partners for a member.
-        pairs = members.join(members.select("node", F.col("x").alias("y"), F.col("cx").alias("cy")),
-                             "node").filter("x < y and cx <> cy").select(*_ordered("x", "y"))
-        if level < LEVELS:
-            pairs = pairs.union(large.filter("doc_id <> _leader").select(
-                *_ordered("doc_id", "_leader")))
-        pairs = pairs.distinct()
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
-        alike = stored(_alike(pairs, reps), "alike")
-        wider = not large.isEmpty() and level < LEVELS
+        some = not large.isEmpty()
+        small = open_.filter(F.col("_members") <= SMALL)
+        other = small.select("node", F.col("doc_id").alias("other"), F.col("signs").alias(
+            "other_signs"), F.col("component").alias("_other_group"))
+        pairs = small.join(other, (small["node"] == other["node"]) & (
+            F.col("doc_id") < F.col("other")) & (F.col("component") != F.col("_other_group"))
+            & _agree()).select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+        if some:
+            if popular is None:
+                popular = stored(_popularity(large, reps), "popularity")
+            leaders = large.join(popular, "doc_id", "left").groupBy("node").agg(F.max(F.struct(
+                F.coalesce("popularity", F.lit(0)), F.xxhash64("doc_id"),
+                F.col("doc_id").alias("leader")))["leader"].alias("leader"))
+            led = leaders.join(reps.select(
+                F.col("doc_id").alias("leader"), F.col("signs").alias("other_signs")), "leader")
+            pairs = pairs.union(large.join(led, (large["node"] == led["node"]) & (
+                F.col("doc_id") != F.col("leader")) & _agree()).select(
+                F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")))
+        alike = stored(pairs.distinct(), "alike")
         if texts is None:
-            wanted = alike.select(F.explode(F.array("a", "b")).alias("doc_id"))
-            if wider:
-                wanted = wanted.union(large.select("doc_id"))
+            wanted = alike.select(F.explode(F.array("a", "b")).alias("doc_id")).union(
+                large.select("doc_id")).distinct()
             texts = stored(docs.select("doc_id", "text").join(
-                wanted.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+                wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
         found = stored(confirmed(alike, texts), "found")
-        asked = alike if asked is None else asked.union(alike)
         if not found.isEmpty():
             edges = found if edges is None else edges.union(found)
-            if wider:
-                groups = components(edges)
-        if not wider:
+        if not some:
+            return edges
+        # Nodes of one leader, mostly those of the same copies in several trees, are one cluster.
+        led_by = large.join(leaders, "node").select("leader", "doc_id").distinct()
+        if edges is None:
+            named = led_by.withColumn("component", F.col("doc_id"))
+        else:
+            named = led_by.join(components(edges).withColumnRenamed("id", "doc_id"), "doc_id",
+                                "left").withColumn("component", F.coalesce("component", "doc_id"))
+        named = stored(named, "clusters")
+        groups = named.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("n")).groupBy(
+            "leader").agg(F.count(F.lit(1)).alias("_groups"), F.sum("n").alias("_all"), F.max(
+                F.struct("n", "component")).alias("_m")).filter("_groups > 1").select(
+            "leader", "_all", F.col("_m.component").alias("_main_group"),
+            F.col("_m.n").alias("n_main"), (F.col("_all") - F.col("_m.n")).alias("n_out"))
+        open_clusters = named.join(groups, "leader").withColumn(
+            "outside", F.col("component") != F.col("_main_group"))
+        deep = open_clusters.filter(F.lit(level < LEVELS) & (F.col("_all") > BRANCH_ABOVE))
+        dealt = _deal(open_clusters.filter(F.lit(level == LEVELS) | (F.col("_all") <= BRANCH_ABOVE)))
+        exact = stored(dealt.join(texts, "doc_id").groupBy("leader", "i", "j").applyInArrow(
+            _connected, "a long, b long"), "exact")
+        if not exact.isEmpty():
+            edges = exact if edges is None else edges.union(exact)
+        if deep.isEmpty():
             return edges
         # Children: coordinates chosen for the node, so that all its members branch alike.
         picks = F.explode(F.array(*[F.lit(k) for k in range(BRANCHES)])).alias("_k")
-        at = F.pmod(F.xxhash64("node", "_k"), F.lit(COORDINATES)).cast("int")
-        rows = large.select("node", "doc_id").join(reps, "doc_id").select(
-            "node", "doc_id", "signs", picks).select(
-            "doc_id", F.xxhash64("node", "_k", F.get("signs", at)).alias("node"))
+        at = F.pmod(F.xxhash64("leader", "_k", F.lit(level)), F.lit(COORDINATES)).cast("int")
+        rows = deep.join(reps, "doc_id").select(
+            "leader", "doc_id", "component", "signs", picks).select("doc_id", F.xxhash64(
+                "leader", "_k", F.get("signs", at)).alias("node"), "component")
     return edges
 
 

@@ -73,28 +73,32 @@ def grow(paths: DataFrame, depth: int = DEPTH, many: int = MANY, few: float = FE
     return rows.drop("_seg")
 
 
-def merge(templates: DataFrame, similar: float = SIMILAR, rounds: int = 2) -> DataFrame:
+def merge(templates: DataFrame, prior: float = 0.0, similar: float = SIMILAR, rounds: int = 2
+          ) -> DataFrame:
     """(host, template, labelled, bad) with `merged`, the template after its siblings joined.
 
-    Siblings share all but their first literal segment. One that lies within `similar` standard
-    errors of all siblings together takes the common template.
+    Siblings share all but their first literal segment, and form bands by a quarter of the rate of
+    bad pages. Those of a band that lie within `similar` standard errors of the whole band take
+    the common template, marked with the band.
     """
     rows = templates.withColumn("merged", F.col("template"))
     for _ in range(rounds):
         family = F.regexp_replace("merged", r"^((?:/\*[^/]*)*)/[^/*]+", "$1/*")
-        rows = rows.withColumn("_family", family)
-        own = rows.groupBy("host", "_family", "merged").agg(
-            F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"))
-        all_ = own.groupBy("host", "_family").agg(
-            F.sum("_l").alias("_al"), F.sum("_b").alias("_ab"))
-        rate = (F.col("_ab") + 1) / (F.col("_al") + 2)
-        error = F.sqrt(rate * (1 - rate) / F.greatest(F.col("_l"), F.lit(1)))
+        own = rows.groupBy("host", family.alias("_family"), "merged").agg(
+            F.sum("labelled").alias("_l"), F.sum("bad").alias("_b")).withColumn(
+            "_band", F.floor(4 * (F.col("_b") + 2 * prior) / (F.col("_l") + 2)))
+        all_ = own.groupBy("host", "_family", "_band").agg(
+            F.sum("_l").alias("_al"), F.sum("_b").alias("_ab"), F.count(F.lit(1)).alias("_many"))
+        rate = (F.col("_ab") + 2 * prior) / (F.col("_al") + 2)
+        error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.01))
+                       / F.greatest(F.col("_l"), F.lit(1)))
         near = (F.col("_l") == 0) | (
             F.abs(F.col("_b") / F.greatest(F.col("_l"), F.lit(1)) - rate) <= similar * error)
-        decided = own.join(all_, ["host", "_family"]).select(
-            "host", "merged", F.when(near, F.col("_family")).otherwise(F.col("merged")).alias("_to"))
-        rows = rows.join(decided, ["host", "merged"]).withColumn("merged", F.col("_to")).drop(
-            "_to", "_family")
+        decided = own.join(all_, ["host", "_family", "_band"]).select(
+            "host", "merged", F.when(near & (F.col("_many") > 1), F.concat(
+                "_family", F.lit("@"), F.col("_band").cast("string")))
+            .otherwise(F.col("merged")).alias("_to"))
+        rows = rows.join(decided, ["host", "merged"]).withColumn("merged", F.col("_to")).drop("_to")
     return rows
 
 
@@ -112,10 +116,10 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str,
         F.count(F.lit(1)).alias("pages"), F.count("_bad").alias("labelled"),
         F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
     trees = stored(grow(counted), "paths")
-    kinds = stored(merge(trees.groupBy("host", "template").agg(
-        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))), "templates")
-    seen, wrong = kinds.agg(F.sum("labelled"), F.sum("bad")).first()
+    seen, wrong = trees.agg(F.sum("labelled"), F.sum("bad")).first()
     prior = wrong / seen if seen else 0.0
+    kinds = stored(merge(trees.groupBy("host", "template").agg(
+        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), prior), "templates")
     pure = kinds.groupBy("host", "merged").agg(
         ((F.sum("bad") + strength * prior) / (F.sum("labelled") + strength)).alias("bad_rate"))
     by_path = trees.select("host", "path", "template").join(
