@@ -6,10 +6,10 @@ small node are compared with each other. In a larger one all members are first c
 leader, the member that shares most min-wise values with the others, which joins a group of copies
 without forming its pairs. The nodes of one leader form a cluster, and where a cluster is not
 connected by then, its members outside the main group are compared with all others: up to
-`BRANCH_ABOVE` members exhaustively in blocks, beyond by branching the cluster again, two
-coordinates sending every member into two child nodes, `LEVELS` times at most before the blocks.
-A pair of similarity 0.75 meets in a node with probability 0.75 a tree, so it is missed by all
-trees with a probability below 1e-7 (1e-4 where clusters branch on).
+`BRANCH_ABOVE` members exhaustively in blocks, beyond by branching the cluster again, `BRANCHES`
+coordinates sending every member into as many child nodes, `LEVELS` times at most before the
+blocks. A pair of similarity 0.75 meets in a node with probability 0.75 a tree or branch, so it is
+missed by all trees with a probability below 1e-7, and by a branching with one of 2e-5.
 
 Pairs of small nodes and leaders are first read from the signatures; those that agree in `LEAST`
 of `COORDINATES` or more are confirmed on the full sets (a pair of similarity 0.75 agrees in fewer
@@ -40,7 +40,7 @@ from .tokens import U, Words, chunks, distinct, mix, shingles
 
 SHINGLE, PERCENT = 5, 75
 TREES, COORDINATES, LEAST = 12, 64, 36
-SMALL, LEVELS, BRANCHES = 12, 3, 2
+SMALL, LEVELS, BRANCHES = 12, 3, 8
 #: Clusters beyond this size branch on; parts of a block, and columns of its matrix at a time.
 BRANCH_ABOVE, BLOCK, COLUMNS = 20_000, 700, 4096
 _rng = np.random.default_rng(20_240_229)
@@ -239,8 +239,10 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
             edges = found if edges is None else edges.union(found)
         if not some:
             return edges
-        # Nodes of one leader, mostly those of the same copies in several trees, are one cluster.
-        led_by = large.join(leaders, "node").select("leader", "doc_id").distinct()
+        # Nodes of one leader, mostly those of the same copies in several trees, are one cluster;
+        # later the nodes of a cluster stay apart, as its branches are its trees.
+        led_by = large.withColumnRenamed("node", "leader").select("leader", "doc_id") if level else (
+            large.join(leaders, "node").select("leader", "doc_id").distinct())
         if edges is None:
             named = led_by.withColumn("component", F.col("doc_id"))
         else:
