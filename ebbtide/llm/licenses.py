@@ -8,8 +8,9 @@ of the runs in the window. The number of bands follows from the smallest similar
 around a template can have, so that at least `RECALL` of the occurrences are retrieved. A
 retrieved window is reported when it holds at least `CONTAINED` of a template's runs.
 
-Only DataFrame functions run and nothing is shuffled. Block minima of a level are made from those
-of the level below, so a longer window does not cost more than a shorter one.
+Only DataFrame functions run and nothing is shuffled. A window agrees with a template in a band
+only if it holds the template's run of least value, so the text is first searched for these runs,
+and min-hashes are taken of the windows around them.
 
 Defined results: null and empty texts, and texts of fewer than five words, have no finding; each
 window with a template is one row, in any number of copies; rows of one doc_id are scanned each by
@@ -86,40 +87,38 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     need = {k: bands(min(len(known[n]) for n in names), 1 << k) for k, names in levels.items()}
     masks = seeds(max(need.values(), default=0))
 
-    def hits(base: Column, j: int, level: int = 0) -> list[Column]:
-        """Windows of each level whose least value under mask j is a template's."""
-        wanted = [k for k in levels if k >= level and need[k] > j]
-        if not wanted:
-            return []
-        out = []
-        if level in levels and need[level] > j:
-            keys = sorted({min(h ^ masks[j] for h in known[n]) for n in levels[level]})
-            least = lambda x, i: F.least(x, F.get(base, i + 1))
-            marked = F.transform(base, lambda x, i: F.when(least(x, i).isin(keys), i))
-            out.append(F.transform(F.filter(marked, lambda i: i.isNotNull()), lambda i: F.struct(
-                F.lit(level).alias("level"), i.alias("block"))))
-        if max(wanted) > level:
-            pairs = F.transform(
-                F.sequence(F.lit(0), F.greatest(F.floor((F.size(base) - 1) / 2), F.lit(0)).cast("int")),
-                lambda i: F.least(F.get(base, 2 * i), F.get(base, 2 * i + 1)))
-            out.append(let(pairs, lambda p: _joined(hits(p, j, level + 1))))
-        return out
-
-    def _joined(found: list[Column]) -> Column:
-        return F.concat(*found) if found else F.array().cast("array<struct<level:int,block:int>>")
+    # The run that is a template's minimum under each mask, by level and band.
+    best = {(k, j): sorted({min(known[n], key=lambda h: h ^ masks[j]) for n in names})
+            for k, names in levels.items() for j in range(need[k])}
+    every = sorted({h for keys in best.values() for h in keys})
+
+    def agrees(sh: Column, level: Column, block: Column) -> Column:
+        """Whether the window's minimum under some mask is a template's."""
+        def band(k: int, j: int) -> Column:
+            window = F.slice(sh, F.shiftleft(block, k) + 1, 2 << k)
+            least = F.array_min(F.transform(window, lambda h: h.bitwiseXOR(F.lit(masks[j]))))
+            return least.isin([h ^ masks[j] for h in best[k, j]])
+
+        return reduce(lambda x, y: x | y, [
+            (level == k) & reduce(lambda x, y: x | y, [band(k, j) for j in range(need[k])])
+            for k in levels])
 
     def retrieve(sh: Column) -> Column:
-        def band(j: int) -> Column:
-            masked = F.transform(sh, lambda h: h.bitwiseXOR(F.lit(masks[j])))
-            return let(masked, lambda base: _joined(hits(base, j)))
+        """The windows that agree with a template in some band.
 
-        every = _joined([band(j) for j in range(len(masks))])
-        return F.when(F.size(sh) > 0, F.array_distinct(every))
+        Such a window holds the template's minimum, so only windows around these runs are hashed.
+        """
+        marked = F.transform(sh, lambda h, i: F.when(h.isin(every), i))
+        around = F.flatten(F.transform(F.filter(marked, lambda i: i.isNotNull()), lambda i: F.array(*[
+            F.struct(F.lit(k).alias("level"), (F.shiftright(i, k) - back).alias("block"))
+            for k in levels for back in (0, 1)])))
+        return F.filter(F.array_distinct(around), lambda w: (w["block"] >= 0) & agrees(
+            sh, w["level"], w["block"]))
 
     def verify(sh: Column, level: Column, block: Column) -> Column:
         cases = []
         for k, names in levels.items():
-            window = F.slice(sh, (block * (1 << k) + 1).cast("int"), 2 << k)
+            window = F.slice(sh, F.shiftleft(block, k) + 1, 2 << k)
             share = [F.struct(F.lit(n).alias("license"), (F.size(F.array_intersect(
                 window, F.array(*[F.lit(h) for h in known[n]]))) / len(known[n]))
                 .alias("containment")) for n in names]
