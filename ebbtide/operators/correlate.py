@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import logit
 from ..functions.tails import exact_interval
-from .order import running
+from .order import match, running
 
 
 def benefits(p1: Column, p0: Column, sign: int = 1) -> dict[str, Column]:
@@ -52,7 +52,7 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
         r = running(total, [F.col(c)], {"_cum": F.col("w")}, by)
         return r.select(*by, c, (F.col("_cum") - (F.col("w") - 1) / 2.0).alias(name))
 
-    j = cells.join(ranks(a, "_ra"), [*by, a]).join(ranks(b, "_rb"), [*by, b])
+    j = match(match(cells, ranks(a, "_ra"), [*by, a]), ranks(b, "_rb"), [*by, b])
     w, x, y = F.col("w"), F.col("_ra"), F.col("_rb")
     size = cells.groupBy(*by).agg(F.sum("w").alias("n"), F.min(a).alias("_a"),
                                   F.max(a).alias("_b"), F.min(b).alias("_c"),
@@ -61,7 +61,7 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
         F.sum(w).alias("_n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
         F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"),
         F.sum(w * x * y).alias("sxy"))
-    g = g.join(size, list(by)) if by else g.select(
+    g = match(g, size, list(by)) if by else g.select(
         "*", size.select(F.struct("*")).scalar().alias("_z")).select("*", "_z.*").drop("_z")
     n = F.col("_n").cast("double")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import half_even
 from ..session import lookup
-from .order import quantile_cells, running, with_size
+from .order import match, quantile_cells, running, with_size
 
 GRID = 20  # budgets 0, 5%, ... 100%
 
@@ -67,9 +67,9 @@ def at_cuts(ordered: DataFrame, cuts: DataFrame, by: Sequence[str], values: Sequ
             ) -> DataFrame:
     """Running sums at the cut ranks; a budget of nobody has none."""
     small = lookup(cuts)
-    hit = ordered.select(*by, F.col("rank").alias("n_targeted"), *values).join(
-        small.select(*by, "n_targeted").distinct(), [*by, "n_targeted"], "left_semi")
-    return small.join(lookup(hit), [*by, "n_targeted"], "left")
+    hit = match(ordered.select(*by, F.col("rank").alias("n_targeted"), *values),
+                small.select(*by, "n_targeted").distinct(), [*by, "n_targeted"])
+    return match(small, lookup(hit), [*by, "n_targeted"], "left")
 
 
 def qini_curve(df: DataFrame, score: str = "score", key: str = "unit",
@@ -143,7 +143,7 @@ def bootstrap(df: DataFrame, budget: float, n_boot: int = 400, seed: int = 0,
     # n_boot rows per group: a plain percentile is small here.
     out = per.withColumn("u", u).groupBy(*by).agg(
         F.percentile("u", F.lit(0.025)).alias("lo"), F.percentile("u", F.lit(0.975)).alias("hi"))
-    out = out.join(size, list(by)) if by else out.withColumn("n_targeted", size.scalar())
+    out = match(out, size, list(by)) if by else out.withColumn("n_targeted", size.scalar())
     return out.select(*by, "n_targeted", (F.col("lo") * F.col("n_targeted")).alias("ci_low"),
                       (F.col("hi") * F.col("n_targeted")).alias("ci_high"))
 

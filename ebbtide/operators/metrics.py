@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import clip
-from ..functions.curves import at_time, from_here, running_product, up_to
+from ..functions.curves import at_time
 from ..functions.tails import chi2_sf
-from ..session import LOOKUP_ROWS, cut, lookup
-from .order import quantile_cells, quantiles, running, with_size
+from ..session import cut, lookup
+from .order import match, quantile_cells, quantiles, running, with_size
 
 MIN_CENSORING = 0.05
 
@@ -28,22 +28,17 @@ MIN_CENSORING = 0.05
 def time_cells(df: DataFrame, by: Sequence[str] = (), time: str = "duration") -> DataFrame:
     """Distinct times with their counts of rows, failures and censorings, plus those at risk.
 
-    Months give a few dozen times and one small window; exact timestamps may give as many
-    times as rows, and then the running sum is distributed.
+    Exact timestamps may give as many times as rows, so the running sum is distributed.
     """
     cells = cut(df.groupBy(*by, F.col(time).alias("time")).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("event") > 0, 1)).alias("d")))
     cells = cells.withColumn("c", F.col("n") - F.col("d"))
-    if cells.count() <= LOOKUP_ROWS:
-        return cells.withColumn("at_risk", F.sum("n").over(from_here(list(by), "time")))
     r = running(cells, [F.col("time").desc()], {"at_risk": F.col("n")}, by)
     return r
 
 
 def _product(cells: DataFrame, factor: Column, by: Sequence[str], name: str) -> DataFrame:
     d = cells.withColumn("_f", factor)
-    if d.count() <= LOOKUP_ROWS:
-        return d.withColumn(name, running_product(F.col("_f"), up_to(list(by), "time"))).drop("_f")
     r = running(d, [F.col("time")], {
         "_ln": F.coalesce(F.ln(F.when(F.col("_f") > 0, F.col("_f"))), F.lit(0.0)),
         "_zero": F.when(F.col("_f") <= 0, 1).otherwise(0)}, by)
@@ -143,8 +138,8 @@ def brier(df: DataFrame, curve: str, horizons: Sequence[float], by: Sequence[str
                   F.sum((1 - F.col("q.s")) * (1 - F.col("q.s"))).alias("_a2")))
     gt = step_lookup(g, "g", horizons, by).select(*by, F.col("t").alias("horizon"),
                                                   F.col("value").alias("_gt"))
-    c = cells.join(lookup(g.select(*by, "time", F.col("g").alias("_g"))), [*by, "time"]).join(
-        lookup(gt), [*by, "horizon"])
+    c = match(match(cells, lookup(g.select(*by, "time", F.col("g").alias("_g"))),
+                    [*by, "time"]), lookup(gt), [*by, "horizon"])
     out, alive = F.col("_e") & (F.col("time") <= F.col("horizon")), F.col("time") > F.col("horizon")
     bad = (out & (F.col("_g") <= 0)) | (alive & (F.col("_gt") <= 0))
     term = F.when(out, F.try_divide("_s2", "_g")).when(alive, F.try_divide("_a2", "_gt")

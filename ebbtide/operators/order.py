@@ -10,6 +10,7 @@ range key.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,16 @@ from ..session import cut, lookup
 _SLICE = "_slice"
 
 
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+          ) -> DataFrame:
+    """Join on `keys` with NULL equal to NULL; the columns of `left`, then the others of `right`."""
+    named = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         *[F.col(c) for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [
+        F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same, how).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def running(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column],
             by: Sequence[str] = ()) -> DataFrame:
     """Add inclusive running sums of `sums` in `order`, restarting for each `by` group.
@@ -40,7 +51,7 @@ def running(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column],
         for i in range(len(sums))])
     here = Window.partitionBy(*by, _SLICE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0)
-    joined = ranged.join(lookup(offsets), [*by, _SLICE])
+    joined = match(ranged, lookup(offsets), [*by, _SLICE])
     return joined.select(*df.columns, *[
         (F.sum(tmp[n]).over(here) + F.col(f"_off_{i}")).alias(n)
         for i, n in enumerate(sums)])
@@ -78,7 +89,7 @@ def quantile_cells(cells: DataFrame, value: str, probs: Mapping[str, float],
     r = running(cells, [F.col(value)], {"_cum": F.col("n")}, by)
     group = [F.col(b) for b in by]
     size = cells.groupBy(*group).agg(F.sum("n").alias("_size"))
-    r = r.join(lookup(size), list(by)) if by else r.withColumn("_size", size.scalar())
+    r = match(r, lookup(size), list(by)) if by else r.withColumn("_size", size.scalar())
     picks = []
     for i, p in enumerate(probs.values()):
         pos = F.lit(p) * (F.col("_size") - 1)
@@ -103,7 +114,7 @@ def with_size(df: DataFrame, source: DataFrame, by: Sequence[str] = (),
               name: str = "_n") -> DataFrame:
     """Attach the number of `source` rows of each group."""
     size = group_sizes(source, by, name)
-    return df.join(size, list(by)) if by else df.withColumn(name, size.scalar())
+    return match(df, size, list(by)) if by else df.withColumn(name, size.scalar())
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: Column | int,

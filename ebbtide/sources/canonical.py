@@ -118,18 +118,21 @@ def dataset(spark: SparkSession, folder: str) -> Dataset:
                    interventions(spark, folder))
 
 
-def survival(spark: SparkSession, folder: str) -> DataFrame:
-    """(unit, cell, x1, x2, duration 1..24, event): 0 active, 1 voluntary, 2 payment."""
+def survival(spark: SparkSession, folder: str, follow_up: int = MAX_MONTHS) -> DataFrame:
+    """(unit, plan, mrr, annual, duration, event): 0 active, 1 voluntary, 2 payment.
+
+    Whoever left after `follow_up` months is censored there.
+    """
     s = spread(subscriptions(spark, folder))  # curves and expansions follow
     end = s.select(F.max(F.greatest("started_at", F.coalesce("ended_at", "started_at")))
                    .alias("e")).scalar()
     days = days_between("started_at", F.coalesce("ended_at", end))
+    months = F.greatest(F.ceil(days / MONTH_DAYS), F.lit(1))
     return s.select(
         F.col("subscription_id").alias("unit"), "plan", "mrr",
         F.when(F.col("interval") == "year", 1.0).otherwise(0.0).alias("annual"),
-        F.least(F.greatest(F.ceil(days / MONTH_DAYS), F.lit(1)), F.lit(MAX_MONTHS))
-        .cast("int").alias("duration"),
-        F.when(F.col("ended_at").isNull(), 0)
+        F.least(months, F.lit(follow_up)).cast("int").alias("duration"),
+        F.when(F.col("ended_at").isNull() | (months > follow_up), 0)
         .when(F.col("cancel_reason") == "voluntary", 1).otherwise(2).alias("event"))
 
 

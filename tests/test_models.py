@@ -44,12 +44,23 @@ def test_distributed_and_local_solvers_agree(planted):
     assert np.abs(g - prec * (local.thetas[k] - mu)).max() < 1e-4  # stationary point
 
 
-def test_large_tenants_use_the_distributed_fit(planted):
-    d = planted.withColumn("firm", F.when(F.col("unit") % 3 == 0, "big").otherwise(
-        F.concat(F.lit("s"), F.col("unit") % 4)))
-    a = effect.fit_groups(d, "firm", ["x"], local_rows=1000).toPandas().set_index("firm")["tau0"]
-    b = effect.fit_groups(d, "firm", ["x"]).toPandas().set_index("firm")["tau0"]
-    assert np.allclose(a.sort_index(), b.sort_index(), atol=1e-5) and len(a) == 5
+def test_tenants_are_fitted_alike_whatever_their_size(planted):
+    d = planted.withColumn("firm", F.when(F.col("unit") % 3 == 0, "big").when(
+        F.col("unit") % 4 > 0, F.concat(F.lit("s"), F.col("unit") % 4)))
+    d = d.union(planted.limit(30).withColumn("y", F.lit(0)).withColumn("firm", F.lit("flat")))
+    got = {r["firm"]: r for r in effect.fit_groups(d, "firm", ["x"]).collect()}
+    assert set(got) == {"big", "s1", "s2", "s3", None, "flat"}
+    assert got["flat"]["n"] == 30 and got["flat"]["tau0"] is None
+    for firm in ("big", "s1", None):
+        one = effect.EffectModel.fit(d.filter(F.col("firm").eqNullSafe(firm)), ["x"]).post
+        assert got[firm]["tau0"] == pytest.approx(one.tau0, abs=1e-5)
+        assert got[firm]["tau0_var"] == pytest.approx(one.tau0_var, abs=1e-5)
+
+
+def test_a_fit_that_does_not_converge_is_refused(planted, monkeypatch):
+    monkeypatch.setattr(effect, "NEWTON_STEPS", 2)
+    with pytest.raises(effect.EffectError, match="converged"):
+        effect.EffectModel.fit(planted, ["x"])
 
 
 def test_unidentifiable_trials_are_refused(planted):
