@@ -13,6 +13,7 @@ from ..functions.curves import from_here, running_product, up_to
 from ..functions.money import label
 from ..schema import Dataset
 from ..session import cut
+from .dunning import CODES, next_step_of
 from .interval import exists_within
 from .preflight import resolve_currency
 
@@ -21,21 +22,6 @@ INVOLUNTARY_DAYS = (-1, 45)
 MATERIAL_SHARE = 0.15
 BENCHMARK = (0.55, 0.70)
 
-# What a decline code means and what to do about it.
-CODE_NOTES = {
-    "insufficient_funds": ("timing: the account is empty until the next salary",
-                           "retry on the next salary date"),
-    "expired_card": ("the same card can never be charged again",
-                     "stop retrying; use a card updater and ask once for a new card"),
-    "do_not_honor": ("opaque issuer refusal whose odds fall quickly",
-                     "two or three spaced attempts, then stop"),
-    "lost_or_stolen_card": ("not recoverable by retrying",
-                            "one attempt, then ask for a new card"),
-    "processing_error": ("transient fault that an immediate retry clears",
-                         "retry within minutes"),
-}
-DEFAULT_ACTION = "review the reason with the processor"
-
 
 def failures(invoices: DataFrame, days: int = RECOVERY_DAYS) -> DataFrame:
     """A5: failed invoices with `recovered` = the customer paid within (0, days] after."""
@@ -202,12 +188,12 @@ def tiles(m: DataFrame) -> DataFrame:
 
 
 def code_notes(mix: DataFrame) -> DataFrame:
-    """Advice and action beside each decline reason."""
-    notes = F.create_map(*[F.lit(x) for code, (a, b) in CODE_NOTES.items()
-                           for x in (code, a + "|" + b)])
-    text = F.split(notes[F.col("code")], r"\|")
-    return mix.select("*", F.coalesce(text[0], F.lit("")).alias("advice"),
-                      F.coalesce(text[1], F.lit(DEFAULT_ACTION)).alias("action"))
+    """Beside each decline reason what to do, and how far retrying can get."""
+    best = F.lit(None).cast("double")
+    for code, (_, ceiling, *_) in CODES.items():
+        best = F.when(F.col("code") == code, ceiling).otherwise(best)
+    return mix.select("*", next_step_of(F.col("code")).alias("action"),
+                      best.alias("best_recovery"))
 
 
 def caveats(ds: Dataset) -> DataFrame:

@@ -85,6 +85,26 @@ AGGRESSIVE = Policy("aggressive", (0.5, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 10.0),
 POLICIES = (NO_RETRY, DEFAULT, FIXED, CODE_AWARE, QUIET, AGGRESSIVE)
 
 
+def next_step(code: str | None) -> str:
+    """What the behaviour of a decline reason under retry calls for, as a message code."""
+    if code not in CODES:
+        return "inspect_reason"
+    _, ceiling, decay, payday, card = CODES[code]
+    if card:
+        return "request_new_card"
+    if payday:
+        return "retry_on_payday"
+    return "retry_at_once" if ceiling > 0.8 else f"retry_spaced_{1 + round(2 * decay + 0.5)}"
+
+
+def next_step_of(code: Column) -> Column:
+    """`next_step` of a column of decline reasons."""
+    step = F.lit(next_step(None))
+    for known in CODES:
+        step = F.when(code == known, next_step(known)).otherwise(step)
+    return step
+
+
 def code_table(spark: SparkSession) -> DataFrame:
     """D1."""
     return spark.createDataFrame(

@@ -187,18 +187,22 @@ def _labels(spark, d):
     return o.select("o_orderkey", label(x, cur).alias("label"))
 
 
+def step_sql(code: str) -> str:
+    return f"""CASE {code} WHEN 'insufficient_funds' THEN 'retry_on_payday'
+  WHEN 'expired_card' THEN 'request_new_card' WHEN 'lost_or_stolen_card' THEN 'request_new_card'
+  WHEN 'do_not_honor' THEN 'retry_spaced_3' WHEN 'generic_decline' THEN 'retry_spaced_3'
+  WHEN 'processing_error' THEN 'retry_at_once' ELSE 'inspect_reason' END"""
+
+
 @query("decline_code_advice", "A16", f"""
-SELECT code, n, CASE code WHEN 'insufficient_funds' THEN 'retry on the next salary date'
-  WHEN 'expired_card' THEN 'stop retrying; use a card updater and ask once for a new card'
-  WHEN 'do_not_honor' THEN 'two or three spaced attempts, then stop'
-  WHEN 'lost_or_stolen_card' THEN 'one attempt, then ask for a new card'
-  WHEN 'processing_error' THEN 'retry within minutes'
-  ELSE 'review the reason with the processor' END AS action
+SELECT code, n, {step_sql('code')} AS action, CASE code WHEN 'insufficient_funds' THEN 0.72::DOUBLE
+  WHEN 'expired_card' THEN 0.13 WHEN 'do_not_honor' THEN 0.38 WHEN 'generic_decline' THEN 0.30
+  WHEN 'processing_error' THEN 0.88 WHEN 'lost_or_stolen_card' THEN 0.02 END AS best_recovery
 FROM (SELECT coalesce(failure_code, 'unknown') AS code, count(*) AS n
       FROM ({FAILED}) GROUP BY 1)""")
 def _advice(spark, d):
     mix = churn.decline_mix(churn.failures(src.invoices(spark, d)))
-    return churn.code_notes(mix).select("code", "n", "action")
+    return churn.code_notes(mix).select("code", "n", "action", "best_recovery")
 
 
 @query("report_caveats", "A17", """
@@ -232,11 +236,7 @@ def _same(spark, d):
 @query("unrecovered_worklist", "W2", f"""
 SELECT customer_id, amount, strftime(attempted_at, '%Y-%m-%d') AS failed_on,
   failure_code AS decline_reason, attempt_number, still AS still_subscribed,
-  CASE WHEN still THEN 'collect: ' ELSE 'win back: ' END ||
-  CASE failure_code WHEN 'insufficient_funds' THEN 'retry on the next salary date'
-    WHEN 'expired_card' THEN 'ask for a new card' WHEN 'do_not_honor' THEN
-    'ask for another payment method' WHEN 'processing_error' THEN
-    'a plain retry usually clears it' ELSE 'look up the reason at the processor' END
+  CASE WHEN still THEN 'collect:' ELSE 'win_back:' END || {step_sql('failure_code')}
     AS suggested_action
 FROM (SELECT *, customer_id IN (SELECT customer_id FROM c_subs WHERE ended_at IS NULL) AS still
       FROM ({SAME}) WHERE NOT recovered)""")

@@ -136,11 +136,13 @@ WITH {ARM_SQL.strip()},
 m AS (SELECT avg(x1) AS a1, greatest(stddev_pop(x1), 1e-9) AS s1, avg(x2) AS a2, greatest(stddev_pop(x2), 1e-9) AS s2,
   avg(x3) AS a3, greatest(stddev_pop(x3), 1e-9) AS s3 FROM c_scored),
 g AS (SELECT r.*, 0.02 * (x1 - a1) / s1 AS g1, -0.05 * (x2 - a2) / s2 AS g2, 0.004 * (x3 - a3) / s3 AS g3 FROM rec r, m)
-SELECT unit, CASE rung WHEN -1 THEN 'no offer' WHEN 0 THEN 'nudge' WHEN 1 THEN 'pause' ELSE 'discount' END AS action,
-  CASE WHEN rung < 0 THEN 0 WHEN abs(g1) + abs(g2) + abs(g3) < 0.1 * 0.3 THEN 1 ELSE 3 + CAST(g1 + g2 + g3 > 0 AS INTEGER) END AS n_drivers,
-  CASE WHEN rung < 0 THEN '' WHEN confidence_chosen < 0.6 THEN 'thin evidence' WHEN expected_value < 1 THEN 'gain too small' ELSE '' END AS caveat,
-  CASE WHEN rung < 0 THEN '' ELSE CASE WHEN best - coalesce(greatest(CASE WHEN pos <> 0 THEN v0 END, CASE WHEN pos <> 1 THEN v1 END, CASE WHEN pos <> 2 THEN v2 END), -1e99) > 1
-    THEN 'clear' ELSE 'close' END END AS runner FROM g""")
+SELECT unit, CASE rung WHEN 0 THEN 'nudge' WHEN 1 THEN 'pause' WHEN 2 THEN 'discount' END AS action,
+  CASE WHEN rung < 0 THEN CASE WHEN budget_trimmed THEN 'over_budget' ELSE 'no_gain' END END AS why_not,
+  CASE WHEN rung >= 0 THEN CASE WHEN abs(g1) + abs(g2) + abs(g3) < 0.1 * 0.3 THEN 'average' WHEN g1 + g2 + g3 > 0 THEN 'against' ELSE 'for' END END AS profile,
+  CASE WHEN rung >= 0 AND abs(g1) + abs(g2) + abs(g3) >= 0.1 * 0.3 THEN 3 END AS n_drivers,
+  CASE WHEN rung >= 0 AND abs(g1) + abs(g2) + abs(g3) >= 0.1 * 0.3 THEN round(greatest(abs(g1), abs(g2), abs(g3)) / (abs(g1) + abs(g2) + abs(g3)), 6) END AS top_share,
+  CASE WHEN rung >= 0 THEN CASE WHEN confidence_chosen < 0.6 THEN 'thin' WHEN expected_value < 1 THEN 'small' END END AS caveat,
+  CASE WHEN rung >= 0 THEN round(best - greatest(CASE WHEN pos <> 0 THEN v0 END, CASE WHEN pos <> 1 THEN v1 END, CASE WHEN pos <> 2 THEN v2 END), 6) END AS gap FROM g""")
 def _reasons(spark, d):
     from ..operators.effect import moments, standardised
     r = recommended(spark, d)
@@ -149,10 +151,11 @@ def _reasons(spark, d):
          .withColumn("risk", F.col("p0")).withColumn("delta_p", F.col("tau")))
     e = reasons.explain(r, ["orders_before", "mrr", "share_lost"], ["nudge", "pause", "discount"],
                         0.3)
-    return e.select("unit", "action", F.size("drivers").alias("n_drivers"), "caveat",
-                    F.when(F.col("runner_up") == "", "").when(
-                        F.col("runner_up").startswith("next best"), "clear").otherwise("close")
-                    .alias("runner"))
+    return e.select(
+        "unit", "action", "why_not", "profile",
+        F.when(F.col("drivers").isNotNull(), F.size("drivers")).alias("n_drivers"),
+        F.round(F.col("drivers")[0]["share"], 6).alias("top_share"), "caveat",
+        F.round("runner_up.gap", 6).alias("gap"))
 
 
 PROFIT = """

@@ -88,7 +88,7 @@ def test_worklist_order(spark, day):
                invoice("b", "c", 5.0, "failed", day(5)), invoice("e", "c", 7.0, "failed", day(6))])
     rows = worklists.unrecovered(ds.invoices, ds.subscriptions).collect()
     assert [(r["still_subscribed"], r["amount"]) for r in rows] == [(True, 7.0), (True, 5.0), (False, 99.0)]
-    assert rows[2]["suggested_action"] == "win back: ask for a new card"
+    assert rows[2]["suggested_action"] == "win_back:request_new_card"
 
 
 @pytest.mark.parametrize("x,cur,text", [

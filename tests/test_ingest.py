@@ -41,7 +41,7 @@ def test_missing_required_column_names_what_is_there(spark):
 
 def test_null_key_is_refused(spark):
     df = spark.createDataFrame([(None, "2024-01-01")], "id string, created string")
-    with pytest.raises(csv.IngestError, match="no key"):
+    with pytest.raises(csv.IngestError, match="have no key"):
         csv.load_table(df, CUSTOMERS)
 
 
@@ -143,3 +143,25 @@ def test_missing_column(spark):
 def test_empty_tables_are_typed(spark):
     for t in TABLES.values():
         assert empty(spark, t).schema == t.struct
+
+
+def test_quotes_commas_and_line_breaks_inside_fields(spark, tmp_path):
+    import csv as plain
+
+    rows = [["c1", 'a ""big"" co, x', "2024-01-01T10:00:00+05:30"], ["c2", "two\nlines", "NA"],
+            ["c3", "", "31/31/2023"]]
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        plain.writer(f).writerows([["id", "plan", "created"], *rows])
+    df = csv.read_csv(spark, str(tmp_path / "a.csv"))
+    assert [r[1] or "" for r in df.orderBy("id").collect()] == [r[1] for r in rows]
+    got = csv.load_table(df, CUSTOMERS).orderBy("customer_id").collect()
+    assert str(got[0]["created_at"]) == "2024-01-01 04:30:00" and got[1]["created_at"] is None
+    lost = {r["column"]: r["n"] for r in csv.unparsed_dates(df, CUSTOMERS).collect()}
+    assert lost["created_at"] == 1
+
+
+@pytest.mark.parametrize("line", ["c1,a,b,c", "c1"])
+def test_records_of_another_width_are_refused(spark, tmp_path, line):
+    (tmp_path / "a.csv").write_text(f"id,plan\nc0,x\n{line}\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        csv.read_csv(spark, str(tmp_path / "a.csv")).select("id").collect()
