@@ -51,6 +51,8 @@ def _binom_sf(k: int, n: int, p: float) -> float:
 
 def exact_interval(wins: int, draws: int, level: float = 0.95) -> tuple[float, float]:
     """Exact (Clopper-Pearson) interval for a win rate, by bisection on the tails."""
+    if draws < 1 or not 0 <= wins <= draws:
+        raise ValueError(f"{wins} of {draws} is no win count")
     if draws <= 0:
         return math.nan, math.nan
     a = (1.0 - level) / 2.0

@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder
+
 _X = "_features"
 
 
@@ -57,7 +59,8 @@ def logistic(df: DataFrame, features: Sequence[str], label: str, c: float = 1.0)
 
 def boosted(df: DataFrame, features: Sequence[str], label: str, rounds: int = 150,
             step: float = 0.06, depth: int = 3, seed: int = 0) -> Classifier:
-    """Gradient-boosted trees with a fixed number of rounds."""
+    """Gradient-boosted trees with a fixed number of rounds, whose lineage is cut every ten."""
+    checkpoint_folder(df.sparkSession)
     _, constant = _one_class(df, label)
     if constant is not None:
         return Classifier(features, fallback=constant)

@@ -72,8 +72,7 @@ def representative(df: DataFrame, published: Mapping[str, float], tol: float = 0
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Exactly `n` rows in the order of a seeded hash of their key; never a prefix."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    return order.top_k(df.withColumn("_h", h), [F.col("_h"), F.col(key)], n).filter(
+    return order.top_k(df.withColumn("_h", uniform(f"rows-{seed}-", key)), [F.col("_h"), F.col(key)], n).filter(
         "selected").drop("_h", "selected")
 
 

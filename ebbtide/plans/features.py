@@ -202,9 +202,10 @@ def _model_auc(spark, d):
 
 @query("leakage_penalty", "L6 F2")
 def _penalty(spark, d):
-    """The same panel under the safe gate and the two broken ones, scored by one model."""
+    """The same panel under the safe gate and the two broken ones, scored by one model;
+    `inflation` is how much a broken gate adds to the honest AUC."""
     ds = src.dataset(spark, d)
-    spine = ft.at_risk_spine(ds.subscriptions, AS_OFS[:3])
+    spine = ft.at_risk_spine(ds.subscriptions, AS_OFS)
     exits = ds.subscriptions.filter("cancel_reason = 'voluntary'").select(
         "customer_id", "ended_at")
     label = (spine.join(exits, "customer_id", "left")
@@ -215,11 +216,13 @@ def _penalty(spark, d):
     label = cut(label)
     parts = []
     for mode in (ft.SAFE, ft.OCCURRED_ONLY, ft.NO_FILTER):
-        p = cut(ft.standard_panel(ds, label, AS_OFS[:3], mode)
+        p = cut(ft.standard_panel(ds, label, AS_OFS, mode)
                 .join(label, ["customer_id", "as_of"]))
         parts.append(leakage.model_auc(p, ft.feature_names(), "y").select(
             F.lit(mode).alias("mode"), "n", "n_pos", "auc"))
-    return union_all(parts)
+    honest = cut(parts[0])
+    return union_all([honest, *parts[1:]]).withColumn(
+        "inflation", F.col("auc") - honest.select("auc").scalar())
 
 
 @query("leakage_report", "L7")

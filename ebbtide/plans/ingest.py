@@ -228,3 +228,17 @@ def _pj_tenant(spark, d):
     return ds.stated.select(
         "currency", ds.subscriptions.agg(F.count(F.lit(1))).scalar().alias("n_subscriptions"),
         ds.invoices.filter("status = 'paid'").agg(F.count(F.lit(1))).scalar().alias("n_paid"))
+
+
+@query("csv_roundtrip", "S1 S20", """
+SELECT CAST(c_custkey AS VARCHAR) AS id, 'a "big" ' || c_mktsegment || ', x' || chr(10) || 'line ' || c_custkey AS note,
+  CAST(c_nationkey AS VARCHAR) AS nation FROM customer""")
+def _roundtrip(spark, d):
+    """An export with quotes, commas and line breaks inside fields, written and read again."""
+    from ..session import work_folder
+    from ..sources import sinks
+
+    note = F.concat(F.lit('a "big" '), "c_mktsegment", F.lit(", x\nline "), "c_custkey")
+    out = src.raw(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), note.alias("note"), F.col("c_nationkey").alias("nation"))
+    return csv.read_csv(spark, sinks.write_csv(out, work_folder(spark, "export")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import shaping
 from ..sources import canonical as src
 from .churn import rounded
+from ..sources.trials import TrialSpec, load_trial
 from .registry import query
 from .sqltext import u
 
@@ -35,13 +36,24 @@ UNION ALL SELECT 't', round(avg(CAST(l_returnflag = 'R' AS DOUBLE)), 6), 0.85::D
 UNION ALL SELECT 'tax', round(avg(l_tax), 6), 0.04::DOUBLE,
   abs(avg(l_tax) - 0.04) <= 0.2 * 0.04 FROM lineitem""")
 def _scan(spark, d):
-    """Three narrow columns reach the scan; everything else is pruned."""
+    """Three columns reach the scan; everything else is pruned."""
     df = src.raw(spark, d, "lineitem").select(
-        F.col("l_discount").cast("float").cast("double").alias("discount"),
+        F.col("l_discount").alias("discount"),
         (F.col("l_returnflag") == "R").cast("tinyint").alias("t"), F.col("l_tax").alias("tax"))
     return rounded(shaping.representative(df, {"discount": 0.05, "t": 0.85, "tax": 0.04}))
 
 
+@query("loaded_trial", "N2 N4 N19", """
+SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'R' AS INT) AS t, l_tax AS y, l_quantity FROM lineitem""")
+def _loaded(spark, d):
+    """Line items as a trial that must have its known rates; the shipping mode comes later."""
+    lines = src.raw(spark, d, "lineitem").withColumn("t", (F.col("l_returnflag") == "R").cast("int"))
+    share = lines.agg(F.avg("t")).first()[0]
+    spec = TrialSpec("t", ["l_tax", "l_discount"], ["l_linenumber", "l_quantity"],
+                     frozenset({"l_shipmode"}), {"t": share, "l_tax": 0.04}, "l_orderkey")
+    return load_trial(lines, spec, "l_tax")
+
+
 @query("adaptive_encoder", "N3", """
 SELECT o_orderkey, o_totalprice,
   CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS o_orderpriority,
@@ -65,7 +77,8 @@ def _variance(spark, d):
     return shaping.encode(df, ["l_orderkey", "l_linenumber"], df.columns[2:], max_features=2)
 
 
-@query("random_row_sample", "N5", None)
+@query("random_row_sample", "N5", f"""
+SELECT unit, t, y FROM c_trial ORDER BY {u('rows-7-', 'unit')}, unit LIMIT 500""")
 def _sample(spark, d):
     return shaping.sample_rows(src.trial(spark, d), "unit", 500, seed=7).select("unit", "t", "y")
 
@@ -144,16 +157,18 @@ def _increments(spark, d):
 
 @query("count_expansion", "N14 N16", f"""
 WITH e AS (SELECT unit, month, unnest(range(1, CAST(sessions AS BIGINT) + 1)) AS i FROM c_panel
-  WHERE month >= 20 AND sessions > 0),
+  WHERE sessions > 0),
 k AS (SELECT *, 'ev_' || unit || '_' || month || '_' || i AS event_id,
   TIMESTAMP '2024-01-01' + to_seconds(CAST(round(month * (30.44::DOUBLE * 86400)) AS BIGINT)) AS s FROM e),
 o AS (SELECT *, s + to_seconds(CAST(floor({u('at-', 'event_id')} * (30.44::DOUBLE * 86400)) AS BIGINT)) AS occurred_at FROM k)
-SELECT event_id, unit AS customer_id, occurred_at,
-  occurred_at + to_seconds(CAST(floor(864 + {u('up-', 'event_id')} * 20736) AS BIGINT)) AS available_at FROM o""")
+SELECT unit AS customer_id, count(*) AS n, min(event_id) AS first_id, min(occurred_at) AS first_at, max(occurred_at) AS last_at,
+  max(occurred_at + to_seconds(CAST(floor(864 + {u('up-', 'event_id')} * 20736) AS BIGINT))) AS last_known FROM o GROUP BY 1""")
 def _expand(spark, d):
-    p = src.panel(spark, d).filter("month >= 20")
-    return shaping.expand_counts(p, "sessions", shaping.month_start(
-        F.col("month"), "2024-01-01 00:00:00"), "ev_").drop("name")
+    return shaping.expand_counts(src.panel(spark, d), "sessions", shaping.month_start(
+        F.col("month"), "2024-01-01 00:00:00"), "ev_").groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"),
+        F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"),
+        F.max("available_at").alias("last_known"))
 
 
 @query("recovered_retries", "N15", """

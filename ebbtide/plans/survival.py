@@ -44,11 +44,11 @@ f AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY unit ORDER BY p), 1.0) AS sb
 k AS (SELECT *, sum(h1 * sb) OVER (PARTITION BY unit ORDER BY p) AS f1, sum(h2 * sb) OVER (PARTITION BY unit ORDER BY p) AS f2 FROM f)"""
 
 
-def long(df, *arrays, every=1):
+def long(df, *arrays):
     """Arrays as (unit, period, ...) rows, rounded."""
     rows = df.select("unit", F.posexplode(F.arrays_zip(*arrays)).alias("i", "r"))
     return rows.select("unit", (F.col("i") + 1).alias("period"), *[
-        F.round(f"r.{a}", 6).alias(a) for a in arrays]).filter(F.col("period") % every == 0)
+        F.round(f"r.{a}", 6).alias(a) for a in arrays])
 
 
 @query("survival_data_check", "U1", """
@@ -88,19 +88,18 @@ def _spline(spark, d):
 
 
 @query("hazard_grid", "U9", f"""
-WITH {GRID.strip()} SELECT unit, CAST(p AS INTEGER) AS period, round(h1, 6) AS hazard_1, round(h2, 6) AS hazard_2 FROM g WHERE p % 6 = 0""")
+WITH {GRID.strip()} SELECT unit, CAST(p AS INTEGER) AS period, round(h1, 6) AS hazard_1, round(h2, 6) AS hazard_2 FROM g""")
 def _grid(spark, d):
-    return long(hazards(src.survival(spark, d)), "hazard_1", "hazard_2", every=6)
+    return long(hazards(src.survival(spark, d)), "hazard_1", "hazard_2")
 
 
 @query("survival_curves", "U10", """
 WITH g AS (SELECT unit, p, product(1 - 1 / (1 + exp(-(-3.4 + 0.002 * mrr + 0.3 * annual - 0.02 * p)))) OVER (PARTITION BY unit ORDER BY p) AS s
   FROM c_surv, (SELECT unnest(range(1, 25)) AS p))
-SELECT unit, CAST(p AS INTEGER) AS period, round(s, 6) AS survival FROM g WHERE p % 6 = 0""")
+SELECT unit, CAST(p AS INTEGER) AS period, round(s, 6) AS survival FROM g""")
 def _curves(spark, d):
     h = hazards(src.survival(spark, d))
-    return long(h.withColumn("survival", survival_from_hazard(F.col("hazard_1"))), "survival",
-                every=6)
+    return long(h.withColumn("survival", survival_from_hazard(F.col("hazard_1"))), "survival")
 
 
 @query("survival_along_path", "U11", """
@@ -121,9 +120,9 @@ def _at(spark, d):
 
 
 @query("competing_risk_curves", "U14 U15", f"""
-WITH {GRID.strip()} SELECT unit, CAST(p AS INTEGER) AS period, round(s, 6) AS survival, round(f1, 6) AS cif_1, round(f2, 6) AS cif_2 FROM k WHERE p % 6 = 0""")
+WITH {GRID.strip()} SELECT unit, CAST(p AS INTEGER) AS period, round(s, 6) AS survival, round(f1, 6) AS cif_1, round(f2, 6) AS cif_2 FROM k""")
 def _competing(spark, d):
-    return long(curves(spark, d), "survival", "cif_1", "cif_2", every=6)
+    return long(curves(spark, d), "survival", "cif_1", "cif_2")
 
 
 @query("life_table", "U2 U16", """
@@ -149,12 +148,11 @@ def _landmark(spark, d):
 
 
 @query("conditional_survival", "U18", f"""
-WITH {GRID.strip()} SELECT unit, round(max(s) FILTER (p = 7) / greatest(max(s) FILTER (p = 6), 1e-12), 6) AS c1,
-  round(max(s) FILTER (p = 12) / greatest(max(s) FILTER (p = 6), 1e-12), 6) AS c6 FROM s GROUP BY 1""")
+WITH {GRID.strip()} SELECT unit, {', '.join(f"round(max(s) FILTER (p = {6 + k}) / greatest(max(s) FILTER (p = 6), 1e-12), 6) AS c{k}" for k in range(1, 7))} FROM s GROUP BY 1""")
 def _conditional(spark, d):
     c = survival.conditional_survival(F.col("survival"), 6, 6)
-    return curves(spark, d).select("unit", F.round(c[0], 6).alias("c1"),
-                                   F.round(c[5], 6).alias("c6"))
+    return curves(spark, d).select("unit", *[F.round(c[k], 6).alias(f"c{k + 1}")
+                                             for k in range(6)])
 
 
 @query("breslow_baseline", "U19", """
@@ -188,14 +186,14 @@ def _breslow_survival(spark, d):
 def _fitted(spark, d):
     s = src.survival(spark, d)
     m = survival.DiscreteHazard(["mrr", "annual"], pool_after=12).fit(s)
-    return long(m.survival(s, 12), "survival", every=3)
+    return long(m.survival(s, H), "survival")
 
 
 @query("boosted_calibrated_hazard", "U3 U6 U7")
 def _boosted(spark, d):
-    s = src.survival(spark, d).filter("duration <= 8")
-    m = survival.DiscreteHazard(["mrr", "annual"], "boosted", calibrate=True, rounds=3).fit(s)
-    g = m.hazard_grid(s.select("unit", "mrr", "annual"), 6)
+    s = src.survival(spark, d)
+    m = survival.DiscreteHazard(["mrr", "annual"], "boosted", calibrate=True, rounds=30).fit(s)
+    g = m.hazard_grid(s.select("unit", "mrr", "annual"), H)
     return g.groupBy("period").agg(F.avg("hazard").alias("mean_hazard"),
                                    F.min("hazard").alias("low"), F.max("hazard").alias("high"))
 
@@ -204,7 +202,7 @@ def _boosted(spark, d):
 def _fitted_competing(spark, d):
     s = src.survival(spark, d)
     m = survival.CompetingHazards(["mrr", "annual"], [1, 2], basis="spline").fit(s)
-    return long(m.curves(s, 12), "survival", "cif_1", "cif_2", every=6)
+    return long(m.curves(s, H), "survival", "cif_1", "cif_2")
 
 
 # --- metrics ------------------------------------------------------------------------------

@@ -32,7 +32,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Make sure that checkpoints have a folder: the session's, or a local one where it is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
@@ -46,7 +47,7 @@ def _checkpoint_dir(spark: SparkSession) -> None:
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, visible to every executor."""
-    _checkpoint_dir(spark)
+    checkpoint_folder(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -57,7 +58,7 @@ def cut(df: DataFrame) -> DataFrame:
     twice) or where an iteration would otherwise grow its plan. Reliable on purpose: a lost
     executor re-reads the files and nothing is recomputed.
     """
-    _checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

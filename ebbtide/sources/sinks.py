@@ -9,8 +9,8 @@ from ..schema import Dataset
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """One header per part file; the number of files follows the size of the data."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """One header per part file, quotes inside fields doubled; files follow the data's size."""
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
     return path
 
 

@@ -222,3 +222,50 @@ def test_value_by_hand(spark):
     with pytest.raises(ValueError):
         value.monthly_discount(-1.0)
     assert math.isfinite(value.monthly_discount(-0.5))
+
+
+def test_impossible_win_counts_are_refused():
+    for wins, draws in ((5, 3), (-1, 3), (0, 0)):
+        with pytest.raises(ValueError, match="no win count"):
+            exact_interval(wins, draws)
+
+
+def test_missing_profit_lift_is_refused(planted):
+    lifted = planted.withColumn("gain", F.when(F.col("unit") > 5, F.col("x")))
+    with pytest.raises(ValueError, match="6 rows lack gain"):
+        campaign.ProfitBoosting(rounds=1).fit(lifted, ["x"], "gain", "unit")
+
+
+def test_trials_are_refused_unless_whole(spark, planted):
+    from ebbtide.sources.trials import TrialError, TrialSpec, load_trial
+
+    share, rate = planted.agg(F.avg("t"), F.avg("y")).first()
+    good = {"t": share, "y": rate}
+    spec = TrialSpec("t", ["y"], ["x"], frozenset({"seen"}), good, "unit")
+    assert load_trial(planted, spec, "y").columns == ["unit", "t", "y", "x"]
+    for frame, s, outcome, text in (
+            (planted, spec, "z", "no outcome"),
+            (planted.filter("t = 1"), spec, "y", "not a fair part"),
+            (planted.withColumn("seen", F.lit(1)),
+             TrialSpec("t", ["y"], ["x", "seen"], frozenset({"seen"})), "y", "after assignment"),
+            (planted.drop("x"), spec, "y", "absent")):
+        with pytest.raises(TrialError, match=text):
+            load_trial(frame, s, outcome)
+
+
+def test_samples_are_never_smaller_than_asked(planted):
+    from ebbtide.operators import shaping
+
+    assert shaping.arm_sample(planted.limit(150), "unit", 400).count() == 0
+    assert shaping.arm_sample(planted, "unit", 400).count() == 400
+
+
+def test_null_groups_are_groups(spark):
+    from ebbtide.operators import order
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "x int, g string")
+    got = {(r["x"], r["g"], r["rank"]) for r in order.ranked(df, [F.col("x")], ["g"]).collect()}
+    assert got == {(1, "a", 1), (2, "a", 2), (3, None, 1), (4, None, 2)}
+    s = spark.createDataFrame([(1, 1, None), (2, 0, None), (2, 1, "p")],
+                              "duration int, event int, plan string")
+    assert {r["plan"] for r in survival.life_table(s, [1], ["plan"]).collect()} == {None, "p"}
