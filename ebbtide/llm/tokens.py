@@ -122,6 +122,14 @@ def shingles(words: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarr
     return mix(out), to
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of `size` values that begins at `starts`."""
+    power, inverse = _power(len(values) + 1)
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(values * power[:len(values)], out=total[1:])
+    return mix((total[starts + size] - total[starts]) * inverse[starts])
+
+
 def distinct(values: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's values sorted and without repeats, and the new borders."""
     sets = [np.unique(values[a:b]) for a, b in zip(to[:-1], to[1:], strict=True)]

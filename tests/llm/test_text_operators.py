@@ -146,6 +146,25 @@ def test_shared_passages_are_found_and_removed(docs, none, rows):
     assert passages.repeats(none).count() == 0 and passages.remove(none).count() == 0
 
 
+def test_passages_of_frequent_lines_meet_a_holder_of_the_whole(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n))
+    rows = []
+    for k in range(12):
+        lines = [line(10) for _ in range(5)]
+        # Earlier texts hold every two or three lines in succession, none of them all five.
+        parts = [lines[a:a + n] for n in (2, 3) for a in range(6 - n)]
+        texts = [f"{line(30)} {' '.join(p)} {line(30)}" for p in parts]
+        texts += [f"{line(40)} {' '.join(lines)} {line(40)}" for _ in range(3)]
+        rows += [(100 * k + i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = {(r.doc_id, r.other_id): (r.start_word, r.end_word)
+             for r in passages.repeats(frame).collect()}
+    for k in range(12):
+        for i in (8, 9):
+            assert spans[100 * k + i, 100 * k + 7] == (40, 90)
+
+
 def test_fingerprints_follow_the_next_document(docs, none, rows):
     texts = sorted(((k, t or "") for k, t, *_ in rows), key=lambda x: (-x[0], x[1]))
     got = {r.doc_id: r for r in spotsigs.fingerprints(docs).collect()}
