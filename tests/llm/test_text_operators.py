@@ -165,6 +165,41 @@ def test_passages_of_frequent_lines_meet_a_holder_of_the_whole(spark):
             assert spans[100 * k + i, 100 * k + 7] == (40, 90)
 
 
+@pytest.mark.parametrize("words_", [50, 57, 60, 75, 100])
+def test_a_replaced_word_leaves_the_longest_run_from_every_anchor(words_):
+    n, pad = words_ - 4, 10
+    for edit in range(words_):
+        a = np.arange(n + 2 * pad).astype(np.uint64)
+        same = (a >= pad) & (a < pad + n)
+        same[pad + max(0, edit - 4):pad + min(n, edit + 1)] = False
+        b = np.where(same, a, a + np.uint64(1000))
+        score = np.concatenate([[0], np.cumsum(np.where(same, 1, -6))])
+        equal = np.flatnonzero(same)
+        for i in equal[[0, len(equal) // 4, len(equal) // 2, -1]]:
+            spans = [(e - s, s, e) for s in range(i + 1) for e in range(i + 1, len(score))
+                     if score[e] >= score[s]]
+            most = max(spans)[0]
+            longest = {(int(equal[equal >= s][0]), int(equal[equal < e][-1]) + 1)
+                       for size, s, e in spans if size == most}
+            assert passages._follow(a, b, int(i), int(i)) in longest
+
+
+def test_passages_with_a_replaced_word_are_found(spark):
+    rng = random.Random(4)
+    line = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    rows, k = [], 0
+    for edit in range(5, 45):
+        for _ in range(4):
+            passage = line(50)
+            changed = passage[:edit] + line(1) + passage[edit + 1:]
+            rows += [(k, " ".join(line(40) + passage + line(40))),
+                     (k + 1, " ".join(line(40) + changed + line(40)))]
+            k += 2
+    got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {r.doc_id for r in got if r.start_word <= 40 and r.end_word >= 90}
+    assert len(whole) >= 0.95 * len(rows) / 2
+
+
 def test_fingerprints_follow_the_next_document(docs, none, rows):
     texts = sorted(((k, t or "") for k, t, *_ in rows), key=lambda x: (-x[0], x[1]))
     got = {r.doc_id: r for r in spotsigs.fingerprints(docs).collect()}
