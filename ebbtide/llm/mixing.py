@@ -110,13 +110,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
         F.col("_cap"), rate * F.col("_w")).alias("target"))
 
 
-def _fly(seed: int, last: bool):
+def _fly(seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_u", "doc_id", "size"], kind="stable", na_position="last")
         p = rows["_p"].to_numpy(float)
         size = rows["size"].to_numpy(np.int64)
         flown = flight(p, size, [seed, int(key[0]), int(key[1])])
-        return rows.assign(_p=landing(flown, size, p) if last else flown)
+        return rows.assign(_p=landing(flown, size, p) if rows["_last"].iloc[0] else flown)
     return run
 
 
@@ -139,11 +139,11 @@ def draw(docs: DataFrame, group: int = GROUP, seed: int = SEED) -> DataFrame:
     groups = F.ceil(F.col("_docs") / group)
     done, level = [], 0
     while True:
-        last = most <= group
-        flown = rows.groupBy("source_rank", F.pmod("_u", groups).alias("_group")).applyInPandas(
-            _fly(seed + level, last), rows.schema)
-        flown = stored(flown, "flown")
-        if last:
+        # A source lands in the level where its rows fit one group, whatever the others hold.
+        rows = rows.withColumn("_last", groups == 1)
+        flown = stored(rows.groupBy("source_rank", F.pmod("_u", groups).alias("_group")).applyInPandas(
+            _fly(seed + level), rows.schema), "flown")
+        if most <= group:
             done.append(flown)
             break
         open_ = (F.col("_p") > 0) & (F.col("_p") < 1)

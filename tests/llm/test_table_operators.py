@@ -158,6 +158,18 @@ def test_mix_meets_its_targets(docs, none, rows, group):
     assert {k: mixed[k] for k in copies} == copies
 
 
+def test_a_large_source_does_not_change_the_draw_of_others(spark):
+    rng = np.random.default_rng(3)
+    small = [(k, "w " * int(n), "a") for k, n in enumerate(rng.integers(1, 900, 40))]
+    draws = []
+    for many in (20, 400):  # the other source has as many words in few or in many documents
+        other = [(1000 + k, "w " * (4000 // many), "b") for k in range(many)]
+        got = mixing.draw(spark.createDataFrame(
+            small + other, "doc_id long, text string, source string"), group=50).filter("source = 'a'")
+        draws.append(sorted(map(tuple, got.select("doc_id", "copies", "target").collect())))
+    assert draws[0] == draws[1]
+
+
 def test_flight_keeps_both_sums():
     rng = np.random.default_rng(8)
     for n in (0, 1, 2, 3, 50, 500):
