@@ -1,7 +1,10 @@
 """Document fingerprints by SpotSigs.
 
 A spot is a common word (an anchor) together with the next `CHAIN` content words after it, content
-words being those outside a list of common words; its hash is one signature. A fingerprint is the
+words being those outside a list of common words; its hash is one signature. One content word in
+`LOCAL`, chosen by its hash, opens a spot too, so texts in which common words are few or of other
+languages have local signatures as well. Words are taken without the punctuation around them, but a
+text of nothing else keeps it. A fingerprint is the
 set of a text's signatures, preceded by the partition of its size: partitions are so wide that
 sets of similarity `tau` or more lie in the same or adjacent ones. Two fingerprints are compared
 by the Jaccard similarity of their sets, which the ratio of sizes bounds from above.
@@ -9,8 +12,8 @@ by the Jaccard similarity of their sets, which the ratio of sizes bounds from ab
 `next_texts` pairs every document with the one of the next lower id: documents are dealt into
 ranges of ids, and only the document on a border of two ranges is sent to both.
 
-Defined results: null and empty texts have the empty set; a text without a spot has one signature,
-its whole word sequence; two empty sets have similarity 1, an empty and another set 0; rows of
+Defined results: null and empty texts have the empty set; a text without a spot has
+its runs of five words as signatures, or all its words where they are fewer; two empty sets have similarity 1, an empty and another set 0; rows of
 one doc_id follow each other in the order of their texts; a single document is its own successor;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -36,6 +39,7 @@ COMMON = ("and to in for with by on as at be it this are from or",
           "und den dem von mit sich auf nicht im auch es an als",
           "y en que del las por con para se no al su lo")
 CHAIN = 2
+LOCAL = 4
 TAU = 0.75
 RANGE_ROWS, MOST_RANGES = 2000, 8192
 
@@ -44,6 +48,44 @@ def _hashes(lines: tuple[str, ...]) -> np.ndarray:
     return np.unique(np.array([word_hash(w) for line in lines for w in line.split()], U))
 
 
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def bare(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The bytes with spaces instead of the punctuation before and after words.
+
+    Beyond ASCII, U+0080 to U+00BF, U+2000 to U+203F and U+3000 to U+303F count as punctuation. A text
+    without any other character stays as it is.
+    """
+    if not len(raw):
+        return raw
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    loose = space | _PUNCTUATION[raw]
+    follows = (raw[1:] & 0xC0) == 0x80
+    two = np.flatnonzero((raw[:-1] == 0xC2) & follows)
+    loose[two] = loose[two + 1] = True
+    three = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x80)
+                           | (raw[:-2] == 0xE3) & (raw[1:-1] == 0x80))
+    for k in range(3):
+        loose[three + k] = True
+    # Runs of such bytes that hold a space or touch the border of a text lie outside words.
+    new = np.ones(len(raw), bool)
+    new[1:] = loose[1:] != loose[:-1]
+    inner = offs[(offs > 0) & (offs < len(raw))]
+    new[inner] = True
+    start = np.flatnonzero(new)
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offs] = True
+    end = np.append(start[1:], len(raw))
+    outside = loose[start] & (np.logical_or.reduceat(space, start) | edge[start] | edge[end])
+    some = np.concatenate([[0], np.cumsum(~loose)])
+    wordless = np.repeat(some[offs[1:]] == some[offs[:-1]], np.diff(offs))
+    out = raw.copy()
+    out[np.repeat(outside, end - start) & ~wordless] = 32
+    return out
+
+
 def signatures(words: Words, anchors: np.ndarray, common: np.ndarray, chain: int = CHAIN
                ) -> list[np.ndarray]:
     """The sorted set of 32-bit signatures of each text."""
@@ -51,8 +93,9 @@ def signatures(words: Words, anchors: np.ndarray, common: np.ndarray, chain: int
     texts = len(at) - 1
     owner = np.repeat(np.arange(texts), np.diff(at))
     content = np.flatnonzero(~np.isin(h, common))
-    spots = np.flatnonzero(np.isin(h, anchors))
-    first = np.searchsorted(content, spots)
+    chosen = content[mix(h[content]) % U(LOCAL) == 0]
+    spots = np.union1d(np.flatnonzero(np.isin(h, anchors)), chosen)
+    first = np.searchsorted(content, spots, "right")
     fits = first + chain <= len(content)
     spots, first = spots[fits], first[fits]
     value = h[spots].copy()
@@ -70,8 +113,7 @@ def signatures(words: Words, anchors: np.ndarray, common: np.ndarray, chain: int
         if not len(mine) and at[i + 1] > at[i]:
             whole, _ = shingles(h[at[i]:at[i + 1]], np.array([0, at[i + 1] - at[i]]),
                                 max(1, min(5, int(at[i + 1] - at[i]))))
-            mine = np.array([int(mix(np.bitwise_xor.accumulate(mix(
-                whole + np.arange(len(whole), dtype=U)))[-1:])[0]) >> 32], np.uint32)
+            mine = np.unique((mix(whole) >> U(32)).astype(np.uint32))
         out.append(mine)
     return out
 
@@ -153,7 +195,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             coded = coded.dictionary_encode()
             signs: list[np.ndarray] = []
             for _, _, raw, offs in chunks(coded.dictionary):
-                signs += signatures(Words(raw, offs), anchors, common)
+                signs += signatures(Words(bare(raw, offs), offs), anchors, common)
             text, edited, after = np.split(coded.indices.to_numpy(zero_copy_only=False), 3)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("n_chars"), batch.column("edited_sha256"),
@@ -177,7 +219,7 @@ def sets(docs: DataFrame) -> DataFrame:
         anchors, common = _hashes(ANCHORS), _hashes(ANCHORS + COMMON)
         for batch in batches:
             for a, b, raw, offs in chunks(batch.column("text")):
-                signs = signatures(Words(raw, offs), anchors, common)
+                signs = signatures(Words(bare(raw, offs), offs), anchors, common)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(a, b - a),
                     pa.array([s.astype(np.int64) for s in signs], pa.list_(pa.int64()))],

@@ -214,6 +214,26 @@ def test_fingerprints_follow_the_next_document(docs, none, rows):
     assert spotsigs.fingerprints(none).count() == 0
 
 
+def test_edited_texts_without_common_words_stay_alike(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):
+        w = [f"слово{rng.randrange(10 ** 6)}" for _ in range(90)]
+        if k % 2:  # common words, but none without punctuation
+            w = [rng.choice(["the,", "«of»", "(is)", "that!!"]) if i % 4 == 0 else x
+                 for i, x in enumerate(w)]
+        rows.append((k, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spotsigs.fingerprints(frame).collect()
+    # Two thirds of a text are equal: half of all signatures, as both sides have others.
+    assert all(r.near_edited > 0.1 for r in got)
+    assert 0.35 < sum(r.near_edited for r in got) / len(got) < 0.65
+    bare = [(k, t.translate(str.maketrans("", "", ",«»()!"))) for k, t in rows]
+    again = spotsigs.sets(spark.createDataFrame(bare, "doc_id long, text string")).collect()
+    signs = {r.doc_id: r.signs for r in spotsigs.sets(frame).collect()}
+    assert {r.doc_id: r.signs for r in again} == signs
+
+
 def test_fingerprint_ranges_do_not_change_the_result(docs, monkeypatch):
     want = sorted(map(tuple, spotsigs.fingerprints(docs).collect()))
     monkeypatch.setattr(spotsigs, "RANGE_ROWS", 7)
