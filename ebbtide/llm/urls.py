@@ -27,8 +27,6 @@ from .common import ascii_lower, stored
 #: (host, path, verdict): a rule holds for its host and all hosts under it.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Levels of the tree; deeper segments form one last segment together.
-DEPTH = 5
 MANY, FEW = 20, 3.0
 SIMILAR = 1.96
 STRENGTH, REJECT = 10.0, 0.5
@@ -53,24 +51,32 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return name, verdict
 
 
-def grow(paths: DataFrame, depth: int = DEPTH, many: int = MANY, few: float = FEW) -> DataFrame:
-    """Add `template` to (host, path, pages): its segments, variable ones as wildcards."""
-    pieces = F.split(F.col("path"), "/", depth)
-    rows = paths.withColumn("_seg", pieces).withColumn("template", F.element_at("_seg", 1))
-    for k in range(1, depth):
+def grow(paths: DataFrame, many: int = MANY, few: float = FEW) -> DataFrame:
+    """Add `template` to (host, path, pages): its segments, variable ones as wildcards.
+
+    Every level is written, and paths that end there leave, so the plan stays short in deep trees.
+    """
+    pieces = F.split(F.col("path"), "/", -1)
+    rows = stored(paths.withColumn("_seg", pieces).withColumn(
+        "template", F.element_at("_seg", 1)), "level")
+    out, k = None, 1
+    while True:
+        ended = rows.filter(F.size("_seg") <= k).drop("_seg")
+        out = ended if out is None else out.union(ended)
+        rows = rows.filter(F.size("_seg") > k)
+        if rows.isEmpty():
+            return out
         seg = F.get("_seg", F.lit(k))
-        kids = rows.filter(seg.isNotNull()).groupBy("host", "template", seg.alias("_s")).agg(
-            F.sum("pages").alias("_n"))
+        kids = rows.groupBy("host", "template", seg.alias("_s")).agg(F.sum("pages").alias("_n"))
         parents = kids.groupBy("host", "template").agg(
             F.count(F.lit(1)).alias("_kids"), F.sum("_n").alias("_pages"))
         ending = F.regexp_extract(seg, r"(\.[A-Za-z0-9]{1,5})$", 1)
         busy = (F.col("_kids") > many) & (F.col("_pages") < few * F.col("_kids"))
         wild = seg.rlike(_VARIABLE) | (busy & (F.length(seg) > 0))
-        rows = rows.join(parents, ["host", "template"], "left").withColumn(
-            "template", F.when(seg.isNull(), F.col("template")).otherwise(F.concat(
-                "template", F.lit("/"), F.when(wild, F.concat(F.lit("*"), ending)).otherwise(seg)))
-        ).drop("_kids", "_pages")
-    return rows.drop("_seg")
+        rows = stored(rows.join(parents, ["host", "template"]).withColumn(
+            "template", F.concat("template", F.lit("/"), F.when(
+                wild, F.concat(F.lit("*"), ending)).otherwise(seg))).select(*rows.columns), "level")
+        k += 1
 
 
 def merge(templates: DataFrame, prior: float = 0.0, similar: float = SIMILAR, rounds: int = 2

@@ -221,6 +221,15 @@ def test_bad_templates_are_blocked_and_similar_ones_merged(spark):
     assert got[0][0] == "/spam/*" and len({got[1][0], got[2][0]}) == 1
 
 
+def test_deep_segments_are_levels_of_their_own(spark):
+    pages = spark.createDataFrame([(k, f"http://h.net/a/b/c/{('good', 'spam')[k % 2]}/x/{k}")
+                                   for k in range(100)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 2 == 1) for k in range(100)], "page_id long, bad boolean")
+    got = {r.page_id: (r.template, r.verdict) for r in urls.judge(pages, labels).collect()}
+    assert got == {k: (f"/a/b/c/{('good', 'spam')[k % 2]}/x/*", ("allow", "block")[k % 2])
+                   for k in range(100)}
+
+
 def test_many_rare_children_become_a_wildcard(spark):
     paths = spark.createDataFrame([("h", f"/u/n{k}x/end", 1) for k in range(50)]
                                   + [("h", "/v/one/end", 9)], "host string, path string, pages long")
