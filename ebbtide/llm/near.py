@@ -296,6 +296,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each component, the one of the smallest doc_id."""
-    kept = classes(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    """`docs` with one row of each component, the one of the smallest doc_id.
+
+    Rows without a doc_id cannot be named by a component and all stay as they are.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull())
+    kept = classes(named).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return named.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(
+        ["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))

@@ -68,6 +68,13 @@ def test_near_duplicates_match_all_pairs(docs, none, rows):
     assert near.classes(none).count() == 0
 
 
+def test_rows_without_doc_id_stay(spark):
+    rows = [(None, "a b c d e f"), (None, "other words stand here alone"), (1, "a b c d e f"),
+            (2, "a b c d e f")]
+    got = near.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows[:3]))
+
+
 def test_large_nodes_branch_without_losing_links(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
