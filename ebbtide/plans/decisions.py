@@ -199,8 +199,8 @@ def _two_stage(spark, d):
     """First stage per arm, then the profit loss."""
     from ..session import cut
     s, x = src.scored(spark, d), ["x1", "x2", "x3"]
-    lifted = cut(campaign.FirstStage.fit(s, x, rounds=30).profit_lift(s, "value", "cost"))
-    model = campaign.ProfitBoosting(rounds=30).fit(lifted, x, "profit_lift", "unit")
+    lifted = cut(campaign.FirstStage.fit(s, x).profit_lift(s, "value", "cost"))
+    model = campaign.ProfitBoosting().fit(lifted, x, "profit_lift", "unit")
     return model.score(lifted.select("unit", *x), "profit_score").select("unit", "profit_score")
 
 

@@ -12,8 +12,6 @@ from .churn import rounded
 from .registry import query
 
 X = ["x1", "x2", "x3"]
-#: Rounds of the boosted models in these queries; the operators' default is 150.
-FAST = {"rounds": 30}
 
 
 @query("standardised_design", "B1 B2", """
@@ -86,7 +84,7 @@ def _ladder(spark, d):
 def _targeters(spark, d):
     halves = cut(shaping.arm_split(src.trial(spark, d), "unit"))
     scores = cut(targeters.stacked_scores(halves.filter("NOT is_test"), halves.filter("is_test"),
-                                          X, **FAST))
+                                          X))
     base = evaluate.random_baseline(halves.filter("is_test"), 0.3).select(
         "incremental_outcome").first()[0]
     return evaluate.verdict(evaluate.benchmark_table(scores, 0.3), base or 0.0)
@@ -111,5 +109,5 @@ def _small(spark, d):
 @query("temporal_churn_model", "T23")
 def _temporal(spark, d):
     p = src.panel(spark, d)
-    _, auc = targeters.temporal_churn(p, ["mrr", "annual", "sessions", "failures_ltd"], 6, **FAST)
+    _, auc = targeters.temporal_churn(p, ["mrr", "annual", "sessions", "failures_ltd"], 6)
     return auc

@@ -192,7 +192,7 @@ def _fitted(spark, d):
 @query("boosted_calibrated_hazard", "U3 U6 U7")
 def _boosted(spark, d):
     s = src.survival(spark, d)
-    m = survival.DiscreteHazard(["mrr", "annual"], "boosted", calibrate=True, rounds=30).fit(s)
+    m = survival.DiscreteHazard(["mrr", "annual"], "boosted", calibrate=True).fit(s)
     g = m.hazard_grid(s.select("unit", "mrr", "annual"), H)
     return g.groupBy("period").agg(F.avg("hazard").alias("mean_hazard"),
                                    F.min("hazard").alias("low"), F.max("hazard").alias("high"))

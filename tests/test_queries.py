@@ -55,3 +55,12 @@ def test_every_inventory_line_has_a_query_or_a_test():
     missing = [f"{g}{i}" for g, n in groups.items() for i in range(1, n + 1)
                if f"{g}{i}" not in covered | contracts]
     assert missing == [] and "D6b" in covered
+
+
+def test_boosted_queries_use_the_default_rounds():
+    from pathlib import Path
+
+    import ebbtide.plans
+
+    plans = Path(ebbtide.plans.__file__).parent.glob("*.py")
+    assert [p.name for p in plans if "rounds=" in p.read_text() or '"rounds"' in p.read_text()] == []
