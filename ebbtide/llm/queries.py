@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import licenses, lm, mixing, near, passages, quality, reshard, spotsigs, urls, wfst
+from . import (align, bpe, licenses, lm, merkle, mixing, near, passages, quality, reshard, spotsigs,
+               urls, wfst)
 from .common import table
 
 SHARDS = 24
@@ -72,17 +73,34 @@ def op10_license_windows(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(prepare(spark), folder, "documents"))
 
 
+def op11_space_anchor_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Token groups and links between two vocabularies over all documents."""
+    return align.report(table(prepare(spark), folder, "documents"))
+
+
+def op12_time_forward_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Merkle manifest of all documents with proofs, checked against tampered rows."""
+    return merkle.audit(table(prepare(spark), folder, "documents"))
+
+
+def op13_speculative_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as byte-level BPE ids and decoded again."""
+    return bpe.digests(table(prepare(spark), folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_spotsigs, op2_min_cost_flow_resharding, op3_path_template_filter,
         op4_sentencepiece_transducer, op5_cube_mixing, op6_chosen_path_near_dedup,
         op7_robust_outliers, op8_pitman_yor_scores, op9_compact_window_passages,
-        op10_license_windows)}
+        op10_license_windows, op11_space_anchor_alignment, op12_time_forward_merkle,
+        op13_speculative_bpe)}
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Independent texts for DuckDB, where SQL can express the result.
 SQL: dict[str, str] = {
+    "op12_time_forward_merkle": merkle.SQL,
     "op6_chosen_path_near_dedup": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_LETTERS}',
