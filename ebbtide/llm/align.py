@@ -1,10 +1,12 @@
 """Alignment of two tokenizers over the same texts by white-space anchors.
 
 Both tokenizers encode a whole text: A (byte-level BPE) the text behind a space, B (pieces, which puts
-that space itself). Where both have a token that begins with a space at the same byte, the tokens before
-it end together there; such verified places are the anchors that part a text into windows. A window is
-known by the ids of its tokens, so its alignment - the groups between all common ends, and the link of
-the two tokens that close each group - is worked out once for each pair of id tuples and remembered.
+that space itself). Neither has a token across a space between two visible characters, so equal chunks
+between such spaces are encoded once, and both have a token that begins with that space. Where the
+tokens of both sides spell the chunk byte by byte, this place is a verified anchor, and the anchors part
+a text into windows. A window is known by the ids of its tokens, so its alignment - the groups between
+all common ends, and the link of the two tokens that close each group - is worked out once for each pair
+of id tuples and remembered.
 
 Two tokens that end at the same byte of a text are one a suffix of the other, so the pairs that can
 ever be linked follow from the two vocabularies: fewer than half a million, whatever the corpus. Links
@@ -24,20 +26,22 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, ByteBpe, Memo, by_group, distinct, ragged, shipped, take
+from .bpe import BLANK, VOCABULARY, ByteBpe, Memo, by_group, distinct, ragged, shipped, take
 from .common import stored
 from .tokens import buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Chunks and windows that a worker remembers, in each of two generations.
+MEMO = 250_000
 _MARK = np.frombuffer(MARK.encode(), np.uint8)
 
 
@@ -98,8 +102,8 @@ class Aligner:
         self.pairs = linkable(self.a.piece, self.b.piece)
         self.bytes = [np.frombuffer(b"".join(t.piece), np.uint8) for t in (self.a, self.b)]
         self.length = [np.array([len(p) for p in t.piece], np.int64) for t in (self.a, self.b)]
-        self.spaced = [np.array([p[:1] == b" " for p in t.piece]) for t in (self.a, self.b)]
-        self.memo = Memo()
+        self.chunks, self.memo = Memo(MEMO), Memo(MEMO)
+        self.a.memo, self.b.memo = Memo(MEMO // 4), Memo(MEMO // 4)
 
     def _align(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes]]:
         """Of every window its groups as text, and its links as packed places in `pairs`.
@@ -123,66 +127,71 @@ class Aligner:
         return [(";".join(groups[s:e]), packed[4 * s:4 * e])
                 for s, e in zip([0, *ends], ends, strict=False)]
 
+    def _encode(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of every chunk in A and in B; None where one of them does not spell the chunk."""
+        raw = np.frombuffer("".join(chunks).encode(), np.uint8)
+        offs = np.concatenate([[0], np.cumsum([len(c.encode()) for c in chunks])]).astype(np.int64)
+        good, packed = np.ones(len(chunks), bool), []
+        for side, pieces, length in zip((self.a, self.b), self.bytes, self.length, strict=True):
+            ids, to = side.encode(raw, offs)
+            good &= np.diff(np.concatenate([[0], np.cumsum(length[ids])])[to]) == np.diff(offs)
+            same = np.flatnonzero(good)
+            chunk, upto = take(raw, offs, same)
+            spelled, _ = take(pieces, np.concatenate([[0], np.cumsum(length)]), take(ids, to, same)[0])
+            wrong = np.flatnonzero(chunk != spelled)
+            good[same[np.unique(np.searchsorted(upto, wrong, "right") - 1)]] = False
+            whole, ends = ids.astype("<u4").tobytes(), (4 * to).tolist()
+            packed.append([whole[x:y] for x, y in zip(ends, ends[1:], strict=False)])
+        return [key if ok else None for key, ok in zip(zip(*packed, strict=True), good.tolist(), strict=True)]
+
     def align(self, raw: np.ndarray, offs: np.ndarray
               ) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of every text of a buffer: tokens of A and of B, and its groups; then where its distinct links
         begin in all links, these, and how often a text has them. Texts without tokens have no groups
         and no links."""
         rows = len(offs) - 1
+        empty = np.diff(offs) == 0
         raw = np.insert(raw, offs[:-1], 32)
         offs = offs + np.arange(rows + 1)
-        sides = [side.encode(raw, offs) for side in (self.a, self.b)]
-        good = np.diff(offs) > 1
-        for (ids, to), pieces, length in zip(sides, self.bytes, self.length, strict=True):
-            size = np.concatenate([[0], np.cumsum(length[ids])])[to]
-            good &= np.diff(size) == np.diff(offs)
-            same = np.flatnonzero(good)
-            text, upto = take(raw, offs, same)
-            spelled, _ = take(pieces, np.concatenate([[0], np.cumsum(length)]), take(ids, to, same)[0])
-            wrong = np.flatnonzero(text != spelled)
-            good[same[np.unique(np.searchsorted(upto, wrong, "right") - 1)]] = False
-        kept = np.flatnonzero(good)
-        sides = [take(*side, kept) for side in sides]
-        ends = [np.cumsum(n[ids]) for n, (ids, _) in zip(self.length, sides, strict=True)]
-        opens = [np.flatnonzero(spaced[ids]) for spaced, (ids, _) in zip(self.spaced, sides, strict=True)]
-        # Every text begins with a space in both, so its first token opens a window too.
-        anchors, i, j = np.intersect1d(*[
-            (e - n[ids])[o] for e, n, o, (ids, _) in zip(ends, self.length, opens, sides, strict=True)],
-            assume_unique=True, return_indices=True)
-        cuts = [np.append(o[k], len(ids)) for o, k, (ids, _) in zip(opens, (i, j), sides, strict=True)]
-        parts = [distinct(ids, 4 * cut, pa.large_binary()) for cut, (ids, _) in zip(cuts, sides, strict=True)]
-        (a_names, a_of), (b_names, b_of) = parts
-        pairs, which = np.unique(a_of * max(1, len(b_names)) + b_of, return_inverse=True)
-        keys = [(a_names[p // len(b_names)], b_names[p % len(b_names)]) for p in pairs.tolist()]
-        if new := self.memo.missing(keys):
-            self.memo.young.update(zip(new, self._align(new), strict=True))
-        windows = [self.memo.young[k] for k in keys]
+        # Neither side has a token across these places, whatever stands before them.
+        begins = np.zeros(len(raw), bool)
+        if self.b.parted:
+            begins[1:-1] = (raw[1:-1] == 32) & (raw[:-2] != 32) & ~BLANK[raw[2:]]
+            begins[offs[1:] - 1] = False  # what follows is not of this text
+        begins[offs[:-1]] = True
+        begins = np.flatnonzero(begins)
+        names, which = distinct(raw, np.append(begins, len(raw)))
+        known, seen = self.chunks.young, self.memo.young
+        if new := self.chunks.missing(names):
+            known.update(zip(new, self._encode(new), strict=True))
+        keys = [known[c] for c in names]
+        self.chunks.trim()
+        if new := self.memo.missing(k for k in keys if k):
+            seen.update(zip(new, self._align(new), strict=True))
+        windows = [seen[k] if k else ("", b"") for k in keys]
         self.memo.trim()
 
-        size = np.concatenate([[0], np.cumsum(np.diff(offs)[kept])])
-        spans = np.append(np.searchsorted(anchors, size[:-1]), len(anchors))
+        spans = np.searchsorted(begins, offs)
+        wrong = np.array([k is None for k in keys], bool)[which]
+        good = ~empty & (np.diff(np.concatenate([[0], np.cumsum(wrong)])[spans]) == 0)
+        n = [np.where(good, np.diff(np.concatenate([[0], np.cumsum(np.array(
+            [len(k[s]) >> 2 if k else 0 for k in keys], np.int64)[which])])[spans]), 0) for s in (0, 1)]
         link, to = take(*ragged([x for _, x in windows]), which)
-        owner = np.repeat(kept, np.diff(to[spans]))
-        held, times = np.unique(owner * len(self.pairs) + link, return_counts=True)
-        n = [np.zeros(rows, np.int64) for _ in sides]
-        for x, (_, upto) in zip(n, sides, strict=True):
-            x[kept] = np.diff(upto)
-        text = [g for g, _ in windows]
-        groups, of, spans = [""] * rows, which.tolist(), spans.tolist()
-        for k, w, v in zip(kept.tolist(), spans, spans[1:], strict=False):
-            groups[k] = ";".join([text[x] for x in of[w:v]])
+        owner = np.repeat(np.arange(rows), np.diff(to[spans]))
+        kept = good[owner]
+        held, times = np.unique(owner[kept] * len(self.pairs) + link[kept], return_counts=True)
+        text = np.array([g for g, _ in windows], object)[which].tolist()
+        spans = spans.tolist()
+        groups = [";".join(text[w:v]) if ok else ""
+                  for w, v, ok in zip(spans, spans[1:], good.tolist(), strict=False)]
         begin = np.searchsorted(held, np.arange(rows + 1) * len(self.pairs))
         return n, groups, begin, held % len(self.pairs), times
 
 
-_made: dict[tuple[int, int], Aligner] = {}
-
-
-def aligner(a: Broadcast, b: Broadcast) -> Aligner:
-    """The aligner of two broadcast files, made once in each worker process."""
-    if (a.id, b.id) not in _made:
-        _made[a.id, b.id] = Aligner(a.value, b.value)
-    return _made[a.id, b.id]
+@lru_cache(maxsize=1)
+def aligner(a: bytes, b: bytes) -> Aligner:
+    """The aligner of two files, made once in each worker process."""
+    return Aligner(a, b)
 
 
 def aligned(docs: DataFrame, a: str = VOCABULARY, b: str = MODEL, text: str = "text") -> DataFrame:
@@ -194,7 +203,7 @@ def aligned(docs: DataFrame, a: str = VOCABULARY, b: str = MODEL, text: str = "t
     columns = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = aligner(*specs)
+        both = aligner(*(s.value for s in specs))
         for batch in batches:
             for part in by_group(batch, text):
                 (n_a, n_b), groups, to, links, times = both.align(*buffers(part.column(text)))

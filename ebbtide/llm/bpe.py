@@ -25,10 +25,12 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -45,15 +47,15 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Bytes of text that are encoded at once; a longer text is taken alone.
 GROUP = 2 << 20
 #: Chunks that a worker remembers, in each of two generations.
-MEMO = 250_000
+MEMO = 300_000
 #: Words of up to so many bytes take each step together; a longer one is taken alone, with a queue.
 SHORT = 48
 
 _LAST = 1 << 40  # a rank behind all
 _NEVER = np.int64(_LAST)
 #: First bytes of white space, of one byte or more.
-_BLANK = np.zeros(256, bool)
-_BLANK[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def alphabet() -> dict[str, int]:
@@ -340,7 +342,7 @@ class ByteBpe:
         characters count as blank here, so a chunk may hold several parts.
         """
         begins = np.zeros(len(raw), bool)
-        begins[:-1] = (raw[:-1] == 32) & ~_BLANK[raw[1:]]
+        begins[:-1] = (raw[:-1] == 32) & ~BLANK[raw[1:]]
         spans, special = offs, {}
         if self.split and self.split.search(data := raw.tobytes()):
             for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
@@ -392,14 +394,10 @@ def take(values: np.ndarray, begins: np.ndarray, rows: np.ndarray) -> tuple[np.n
     return values[np.arange(to[-1]) + np.repeat(begins[rows] - to[:-1], size)], to
 
 
-_read: dict[tuple, ByteBpe] = {}
-
-
-def vocabulary(spec: Broadcast, special: bool = True) -> ByteBpe:
-    """The vocabulary of a broadcast file, read once in each worker process."""
-    if (spec.id, special) not in _read:
-        _read[spec.id, special] = ByteBpe(spec.value, special)
-    return _read[spec.id, special]
+@lru_cache(maxsize=2)
+def vocabulary(spec: bytes, special: bool = True) -> ByteBpe:
+    """The vocabulary of a file, read once in each worker process."""
+    return ByteBpe(spec, special)
 
 
 def shipped(docs: DataFrame, path: str) -> Broadcast:
@@ -421,7 +419,7 @@ def groups(lengths: list[int], most: int = GROUP) -> Iterator[slice]:
 
 def by_group(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose values in `column` have about GROUP bytes together."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     for s in groups(sizes):
         yield batch.slice(s.start, s.stop - s.start)
 
@@ -435,7 +433,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", special:
     columns = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(spec, special)
+        bpe = vocabulary(spec.value, special)
         for batch in batches:
             for part in by_group(batch, text):
                 ids, to = bpe.encode(*buffers(part.column(text)))
@@ -455,7 +453,7 @@ def decode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     columns = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(spec)
+        bpe = vocabulary(spec.value)
         for batch in batches:
             for part in by_group(batch, "ids"):
                 texts = [bpe.decode(i or b"") for i in part.column("ids").to_pylist()]

@@ -141,13 +141,12 @@ def descend(rounds: list[DataFrame], crown: DataFrame, fanout: int, block: int)
     tree (tree, position 0, proof, *_CROWN)."""
     wide = span(fanout, block)
     for lower in reversed(rounds[:-1]):
-        columns = lower.columns
         schema = lower.withColumns({"proof": F.lit("")}).schema
         for c in _CROWN:
             schema = schema.add(crown.schema[c])
 
-        def down(table: pa.Table, above: pa.Table, columns=columns) -> pa.Table:
-            table, place = table.sort_by("position"), table.column("position")
+        def down(key: tuple, table: pa.Table, above: pa.Table) -> pa.Table:
+            table = table.sort_by("position")
             place = table.column("position").to_pylist()
             levels, _ = _levels(table.column("total")[0].as_py(), fanout, block)
             if levels:
@@ -156,9 +155,11 @@ def descend(rounds: list[DataFrame], crown: DataFrame, fanout: int, block: int)
                 proof = [found[p] for p in place]
             else:
                 proof = above.column("proof").to_pylist()
-            rest = {c: pa.array([above.column(c)[0].as_py()] * len(place), above.schema.field(c).type)
-                    for c in _CROWN}
-            return pa.table({c: table.column(c) for c in columns} | {"proof": proof} | rest)
+            table = table.drop(["block"]).append_column("proof", pa.array(proof, pa.string()))
+            for c in _CROWN:
+                kind = above.schema.field(c).type
+                table = table.append_column(c, pa.array([above.column(c)[0].as_py()] * len(place), kind))
+            return table
 
         blocks = lower.withColumn("block", F.expr(f"position div {wide}")).groupBy("tree", "block")
         named = crown.select("tree", F.col("position").alias("block"), "proof", *_CROWN)
