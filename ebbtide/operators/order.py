@@ -63,6 +63,36 @@ def ranked(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
     return running(df, order, {name: F.lit(1).cast("long")}, by)
 
 
+def as_of(asks: DataFrame, facts: DataFrame, at: str, values: Mapping[str, Column], before: Column,
+          by: Sequence[str] = ()) -> DataFrame:
+    """Rows of `asks` with the `values` of the last row of `facts` at or before their `at`.
+
+    Groups `by` are matched with NULL equal to NULL; `before` is the value where no fact is early
+    enough or the time is NULL. `facts` has one row per group and time. Both sides are ordered as one
+    by range and written once; a slice carries its last fact on, and what earlier slices of the group
+    have seen last is added to the rows before a slice's own first fact. Neither side is broadcast, and
+    no time or group has to fit into a task.
+    """
+    kind = {r.name: r.dataType for r in asks.schema}
+    left = asks.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*asks.columns).alias("_row"),
+                       F.lit(None).alias("_fact"))
+    right = facts.filter(F.col(at).isNotNull()).select(
+        *by, F.col(at).cast(kind[at]).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).alias("_row"),
+        F.struct(*[v.alias(k) for k, v in values.items()]).alias("_fact"))
+    keys = [*[F.col(b) for b in by], F.col("_at"), F.col("_kind")]  # NULL comes first
+    rows = cut(left.unionByName(right).repartitionByRange(*keys).withColumn(_SLICE, F.spark_partition_id()))
+    # One row per slice and group.
+    last = rows.groupBy(*by, _SLICE).agg(F.max_by("_fact", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_last"))
+    earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*by, _SLICE, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    here = Window.partitionBy(*by, _SLICE).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = match(rows.withColumn("_fact", F.last("_fact", ignorenulls=True).over(here)).filter("_kind = 1"),
+                 carried, [*by, _SLICE], "left")
+    fact = F.coalesce("_fact", F.when(F.col("_at").isNotNull(), F.col("_carried")))
+    return seen.withColumn("_fact", fact).select(
+        "_row.*", *[F.when(F.col("_fact").isNull(), before).otherwise(F.col(f"_fact.{k}")).alias(k) for k in values])
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
                   sums: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per distinct (by, value): its count `n`, average rank and any extra sums.

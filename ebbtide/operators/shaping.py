@@ -77,15 +77,15 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def arm_sample(df: DataFrame, key: str, n: int, seed: int = 0, arm: str = "t") -> DataFrame:
-    """`n` rows with the treated share kept: each arm gives round(n * its share).
+    """`n` rows with the treated share kept: each arm gives round(n * its share), or what it has.
 
-    No row is drawn when there are fewer than `n`: a smaller sample must not pass as the larger.
+    A table of fewer than `n` rows comes back whole; who must not take it for `n` counts it first.
     """
     r = order.ranked(df.withColumn("_u", uniform(f"subsample-{seed}-", key)),
                      [F.col("_u"), F.col(key)], [arm], "_r")
     total = df.agg(F.count(F.lit(1))).scalar()
     return (order.with_size(r, df, [arm])
-            .filter((F.col("_r") <= half_even(n * F.col("_n") / total)) & (total >= n))
+            .filter(F.col("_r") <= half_even(n * F.col("_n") / total))
             .select(*df.columns))
 
 

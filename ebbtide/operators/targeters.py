@@ -212,7 +212,10 @@ def small_n_sweep(df: DataFrame, features: Sequence[str], sizes: Sequence[int],
             F.lit(seed).alias("seed"), "uplift_per_contact",
             F.col("incremental_outcome").alias("incremental"))
         parts = [base]
+        rows = train.count()
         for n in sizes:
+            if rows < n:
+                continue  # a smaller sample must not pass as the larger
             sample = cut(shaping.arm_sample(train, "unit", n, seed))
             ok = sample.agg(F.count_distinct("t"), F.count_distinct("y")).first()
             if ok[0] < 2 or ok[1] < 2:

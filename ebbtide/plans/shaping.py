@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import shaping
@@ -43,17 +46,38 @@ def _scan(spark, d):
     return rounded(shaping.representative(df, {"discount": 0.05, "t": 0.85, "tax": 0.04}))
 
 
+# The rates of line items by which the given tables are made.
+RATES = {"t": 0.333, "l_tax": 0.04}
+
+
 @query("loaded_trial", "N2 N4 N19", """
 SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'R' AS INT) AS t, l_tax AS y, l_quantity FROM lineitem""")
 def _loaded(spark, d):
     """Line items as a trial that must have its known rates; the shipping mode comes later."""
     lines = src.raw(spark, d, "lineitem").withColumn("t", (F.col("l_returnflag") == "R").cast("int"))
-    share = lines.agg(F.avg("t")).first()[0]
     spec = TrialSpec("t", ["l_tax", "l_discount"], ["l_linenumber", "l_quantity"],
-                     frozenset({"l_shipmode"}), {"t": share, "l_tax": 0.04}, "l_orderkey")
+                     frozenset({"l_shipmode"}), RATES, "l_orderkey")
     return load_trial(lines, spec, "l_tax")
 
 
+@query("trial_rate_gate", "N4", """
+WITH l AS (SELECT CAST(l_returnflag = 'R' AS DOUBLE) AS t, l_tax FROM lineitem),
+c AS (SELECT 'whole' AS frame, * FROM l UNION ALL SELECT 'one arm', * FROM l WHERE t = 1
+  UNION ALL SELECT 'half of the rest', * FROM l WHERE t = 1 OR l_tax < 0.04),
+o AS (SELECT frame, avg(t) AS t, avg(l_tax) AS l_tax FROM c GROUP BY 1),
+r AS (SELECT frame, 't' AS rate, t AS observed, 0.333::DOUBLE AS published FROM o UNION ALL SELECT frame, 'l_tax', l_tax, 0.04 FROM o)
+SELECT frame, rate, round(observed, 6) AS observed, published,
+  abs(observed - published) <= 0.2 * published AND NOT (rate = 't' AND observed IN (0, 1)) AS passed FROM r""")
+def _gate(spark, d):
+    """The same known rates against the whole file, one arm, and a file that lost rows of one arm."""
+    lines = src.raw(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("t"), "l_tax")
+    frames = {"whole": lines, "one arm": lines.filter("t = 1"),
+              "half of the rest": lines.filter("t = 1 OR l_tax < 0.04")}
+    parts = [shaping.representative(f, RATES).select(F.lit(name).alias("frame"), "*")
+             for name, f in frames.items()]
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
 @query("adaptive_encoder", "N3", """
 SELECT o_orderkey, o_totalprice,
   CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS o_orderpriority,

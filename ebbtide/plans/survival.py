@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import expit
 from ..functions.curves import at_time, survival_from_hazard
-from ..operators import metrics, shaping, survival, value
+from ..operators import metrics, order, shaping, survival, value
 from ..session import cut
 from ..sources import canonical as src
 from .churn import rounded
@@ -242,6 +242,20 @@ def _lookup(spark, d):
                                        [0.5, 1.0, 7.9, 100.0]))
 
 
+@query("as_of_lookup", "K2 K1 K3", f"""
+WITH {KM.strip()}, q AS (SELECT unit, unnest([duration / 2.0, duration - 0.25, duration, 0.5]) AS t FROM c_surv)
+SELECT unit, CAST(t AS DOUBLE) AS t, round(coalesce(km.s, 1.0), 6) AS survival, round(coalesce(km.g, 1.0), 6) AS g
+FROM q ASOF LEFT JOIN km ON q.t >= km.time""")
+def _as_of(spark, d):
+    """Both curves at four times of every subject: half its own, just before it, at it, and too early."""
+    surv = src.survival(spark, d)
+    curve = metrics.kaplan_meier(surv).select(F.col("time").alias("t"), "survival").join(
+        metrics.censoring_survival(surv).select(F.col("time").alias("t"), "g"), "t")
+    t = F.col("duration").cast("double")
+    asks = surv.select("unit", F.explode(F.array(t / 2, t - 0.25, t, F.lit(0.5))).alias("t"))
+    return rounded(order.as_of(asks, curve, "t", {"survival": F.col("survival"), "g": F.col("g")}, F.lit(1.0)))
+
+
 @query("censoring_survival", "K3", f"WITH {KM.strip()} SELECT time, round(g, 6) AS g FROM km")
 def _censoring(spark, d):
     return rounded(metrics.censoring_survival(src.survival(spark, d)).select("time", "g"))

@@ -6,11 +6,12 @@ to become knowable. Sinks are files written per micro-batch, so a restart repeat
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from ..operators import holdout
 from ..schema import TableDef
@@ -48,6 +49,31 @@ def usage_counts(stream: DataFrame, width: str = "30 days", slide: str = "1 day"
         by, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
+def daily_panes(stream: DataFrame, at: str = "occurred_at", by: str = "customer_id") -> DataFrame:
+    """ST2: counts per customer and day, one row of state each, whatever windows they serve."""
+    return usage_counts(stream, "1 day", "1 day", at, by).withColumnRenamed("window_start", "day")
+
+
+def merge_panes(panes: DataFrame, widths: Sequence[int], by: str = "customer_id") -> DataFrame:
+    """ST2: counts in windows of `widths` days that slide by a day, from (by, day, n).
+
+    A pane enters a window that starts `width - 1` days before it and leaves with the day after it, so
+    four changes per pane and their running sum give all windows of two widths; between changes the
+    sum stands and only the days are written out. A customer has at most as many changes as days.
+    """
+    day = F.unix_date(F.col("day").cast("date"))
+    changes = F.array(*[x for w in widths for x in (
+        F.struct(F.lit(w).alias("width_days"), (day - (w - 1)).alias("at"), F.col("n").alias("change")),
+        F.struct(F.lit(w).alias("width_days"), (day + 1).alias("at"), (-F.col("n")).alias("change")))])
+    cells = panes.select(by, F.explode(changes).alias("c")).select(by, "c.*").groupBy(
+        by, "width_days", "at").agg(F.sum("change").alias("change"))
+    w = Window.partitionBy(by, "width_days").orderBy("at")
+    steps = cells.select(by, "width_days", "at", F.lead("at").over(w).alias("until"),
+                         F.sum("change").over(w).alias("n")).filter("n > 0")
+    return steps.select(by, "width_days", F.explode(F.sequence("at", F.col("until") - 1)).alias("d"), "n").select(
+        by, "width_days", F.date_from_unix_date("d").cast("timestamp_ntz").alias("window_start"), "n")
+
+
 def recovered(failed: DataFrame, paid: DataFrame, days: int = 30, lateness: str = "2 days"
               ) -> DataFrame:
     """ST3: failures with a payment of the same customer in (0, days] after them.
@@ -55,6 +81,23 @@ def recovered(failed: DataFrame, paid: DataFrame, days: int = 30, lateness: str
     A semi join, so a failure is emitted once however many payments follow. Both sides forget
     rows the interval can no longer reach.
     """
+    f, p, inside = _interval(failed, paid, days, lateness)
+    return f.join(p, inside, "left_semi")
+
+
+def never_recovered(failed: DataFrame, paid: DataFrame, days: int = 30, lateness: str = "2 days"
+                    ) -> DataFrame:
+    """ST3: failures whose `days` passed without a payment, each once, when its window has closed.
+
+    A left outer join over the interval keeps a failure until the watermark of both sides is past its
+    window; only then does it come out alone. A payment that is late by up to `lateness` still counts.
+    """
+    f, p, inside = _interval(failed, paid, days, lateness)
+    return f.join(p, inside, "left_outer").filter("_paid_at IS NULL").select(*f.columns)
+
+
+def _interval(failed: DataFrame, paid: DataFrame, days: int, lateness: str
+              ) -> tuple[DataFrame, DataFrame, Column]:
     f = failed.withColumn("failed_at", F.col("attempted_at").cast("timestamp")).drop(
         "attempted_at").withWatermark("failed_at", lateness)
     p = paid.select(F.col("customer_id").alias("_c"),
@@ -62,7 +105,7 @@ def recovered(failed: DataFrame, paid: DataFrame, days: int = 30, lateness: str
         "_paid_at", lateness)
     inside = ((F.col("customer_id") == F.col("_c")) & (F.col("_paid_at") > F.col("failed_at"))
               & (F.col("_paid_at") <= F.col("failed_at") + F.expr(f"INTERVAL {days} DAYS")))
-    return f.join(p, inside, "left_semi")
+    return f, p, inside
 
 
 def unrecovered(failed: DataFrame, matched: DataFrame, key: str, closed: Column) -> DataFrame:

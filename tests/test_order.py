@@ -121,3 +121,38 @@ def test_curves_match_a_plain_loop(spark):
         want[t] = s
     got = {r["time"]: r["survival"] for r in metrics.kaplan_meier(df).collect()}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_as_of_is_the_last_fact_before(spark, parts):
+    """Groups and times may be NULL, a group may hold most rows, and no time has to match."""
+    rng = np.random.default_rng(7)
+    groups = [None, "a", "hot", "hot", "hot", "none"]
+    facts = {(groups[rng.integers(5)], int(rng.integers(200))): float(k) for k in range(300)}
+    facts[(None, None)] = -1.0
+    asks = [(k, groups[rng.integers(6)], None if k % 17 == 0 else float(rng.integers(-5, 405)) / 2) for k in range(500)]
+    f = spark.createDataFrame([(g, t, v, None if v % 5 == 0 else v) for (g, t), v in facts.items()],
+                              "g string, t int, v double, w double")
+    a = spark.createDataFrame(asks, "id int, g string, t double").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["id"]: (r["v"], r["w"]) for r in order.as_of(
+            a, f, "t", {"v": F.col("v"), "w": F.col("w")}, F.lit(9.5), ["g"]).collect()}
+        alone = {r["id"]: r["v"] for r in order.as_of(a, f.filter("g = 'hot'"), "t", {"v": F.col("v")}, F.lit(None)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    def last(g, t):
+        early = [(x, v) for (h, x), v in facts.items() if h == g and x is not None and t is not None and x <= t]
+        return max(early)[1] if early else None
+    for k, g, t in asks:
+        v = last(g, t)
+        assert got[k] == ((9.5, 9.5) if v is None else (v, None if v % 5 == 0 else v))
+        assert alone[k] == last("hot", t)
+    assert len(got) == len(asks)
+
+
+def test_as_of_broadcasts_nothing_and_forms_no_pairs(spark, hot):
+    curve = hot.groupBy(F.col("v").alias("t")).agg(F.count("*").alias("n"))
+    plan = order.as_of(hot.select("id", F.col("v").alias("t")), curve, "t", {"n": F.col("n")}, F.lit(0)
+                       )._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

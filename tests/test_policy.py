@@ -213,3 +213,53 @@ def test_arrivals_enter_the_ledger_once(spark, tmp_path):
     facts.assign_on_arrival(s, ledger, state, "e", F.lit("2024-01-01"))
     got = holdout.read_ledger(spark, ledger)
     assert got.count() == 10 and got.select("customer_id").distinct().count() == 10
+
+
+INVOICES = "invoice_id string, customer_id string, status string, attempted_at timestamp_ntz"
+
+
+def test_unrecovered_failures_leave_the_stream_once_over_several_batches(spark, tmp_path, day):
+    """A file per batch, payments up to two days late, the same failure day for several customers."""
+    import random
+    rng = random.Random(3)
+    rows = [(f"i{k}", f"c{rng.randrange(12)}", rng.choice(["failed", "paid", "failed"]),
+             day(rng.randrange(150), rng.randrange(24))) for k in range(260)]
+    rows += [("x1", "c0", "failed", day(150)), ("x2", "c0", "paid", day(150))]
+    late = lambda r: r[3] + (dt.timedelta(hours=30) if r[2] == "paid" and int(r[0][1:]) % 3 == 0 else dt.timedelta())
+    rows.sort(key=late)
+    path = str(tmp_path / "inv")
+    for k in range(0, len(rows), 40):
+        spark.createDataFrame(rows[k:k + 40], INVOICES).coalesce(1).write.mode("append").parquet(path)
+    inv = facts.read_parquet(spark, path, INVOICES, "part-*", 1)
+    out = facts.run_to_files(facts.never_recovered(
+        inv.filter("status = 'failed'"), inv.filter("status = 'paid'")), work_folder(spark, "t"))
+    got = [r["invoice_id"] for r in spark.read.parquet(out).collect()]
+    days = dt.timedelta(days=30)
+    open_ = lambda f: not any(p[2] == "paid" and p[1] == f[1] and f[3] < p[3] <= f[3] + days for p in rows)
+    seen = min(max(r[3] for r in rows if r[2] == s) for s in ("failed", "paid")) - dt.timedelta(days=2)
+    assert len(got) == len(set(got)) and set(got) == {
+        r[0] for r in rows if r[2] == "failed" and open_(r) and r[3] + days < seen}
+    assert 20 < len(got) < 150
+
+
+def test_panes_give_the_windows_of_a_slide_by_a_day(spark, tmp_path, day):
+    import random
+    rng = random.Random(5)
+    rows = [(str(k), f"c{rng.choice([0, 0, 0, 1, 2, 3])}", "x", day(rng.randrange(100), rng.randrange(24)), None, 1.0)
+            for k in range(120)]
+    rows.sort(key=lambda r: r[3])
+    path = str(tmp_path / "in")
+    for k in range(0, 120, 30):
+        write_events(spark, path, rows[k:k + 30])
+    def run(make, key):
+        s = facts.fact_stream(facts.read_parquet(spark, path, EVENTS.struct, "part-*", 1), EVENTS)
+        out = spark.read.parquet(facts.run_to_files(make(s), work_folder(spark, "t"), "update"))
+        return facts.latest(out, ["customer_id", key], "n")
+    panes = run(facts.daily_panes, "day")
+    assert panes.count() == len({(r[1], r[3].date()) for r in rows})
+    got = facts.merge_panes(panes, [7, 30])
+    for width in (7, 30):
+        want = run(lambda s: facts.usage_counts(s, f"{width} days", "1 day"), "window_start")
+        mine = got.filter(F.col("width_days") == width).drop("width_days")
+        assert sorted(map(tuple, mine.select("customer_id", "window_start", "n").collect())) == sorted(
+            map(tuple, want.select("customer_id", "window_start", "n").collect()))
