@@ -165,3 +165,26 @@ def test_records_of_another_width_are_refused(spark, tmp_path, line):
     (tmp_path / "a.csv").write_text(f"id,plan\nc0,x\n{line}\n")
     with pytest.raises(Exception, match="MALFORMED"):
         csv.read_csv(spark, str(tmp_path / "a.csv")).select("id").collect()
+
+
+def test_contract_rules_read_every_table_once(spark):
+    """The rules together against each on its own, and the scans of the plan."""
+    import re
+
+    from ebbtide.operators import validation
+    from ebbtide.schema import FACTS, Dataset
+    from ebbtide.sources import canonical as src
+
+    ds = src.dataset(spark, "/root/testdata/sf0.001")
+    got = {(r["table"], r["rule"], r["column"]): r["n"] for r in validation.violations(ds).collect()}
+    want = {}
+    for table, df in ds:
+        for part in (validation.duplicate_keys(df, table), validation.row_rules(df, table)):
+            want |= {(r["table"], r["rule"], r["column"]): r["n"] for r in part.collect()}
+    for t in FACTS:
+        r = validation.orphans(ds.table(t.name), ds.customers, t).first()
+        want[r["table"], r["rule"], r["column"]] = r["n"]
+    assert got == want
+    each = sum(len(re.findall("FileScan parquet", df._jdf.queryExecution().executedPlan().toString())) for _, df in ds)
+    plan = validation.violations(ds)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan parquet", plan)) <= each
