@@ -13,6 +13,7 @@ from ..session import cut
 from ..sources import canonical as src
 from .churn import rounded
 from .registry import query
+from .sqltext import u
 
 AS_OFS = [dt.datetime(1998, 6, 30), dt.datetime(1999, 6, 30), dt.datetime(2000, 6, 30),
           dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 31)]
@@ -189,10 +190,15 @@ def _auc(spark, d):
         (F.col("auc") >= leakage.SUSPICIOUS).alias("suspicious"))
 
 
-@query("canary_detection", "L3 L4")
+@query("canary_detection", "L3 L4", f"""
+WITH f AS (SELECT 'x1' AS feature, x1 AS x, y FROM c_trial UNION ALL SELECT 'x2', x2, y FROM c_trial
+  UNION ALL SELECT 'x3', x3, y FROM c_trial UNION ALL SELECT 'canary_leaked_outcome',
+    CASE WHEN {u('flip-0-', 'unit')} > 0.9 THEN 1.0 - y ELSE y END::DOUBLE + ({u('noise-0-', 'unit')} - 0.5) * 0.03::DOUBLE, y FROM c_trial),
+""" + AUC_SQL.strip()[5:] + """
+SELECT feature, round(greatest(auc, 1 - auc), 6) AS auc FROM a WHERE greatest(auc, 1 - auc) >= 0.85""")
 def _canary(spark, d):
     t = leakage.inject_canary(src.trial(spark, d), "y", F.col("unit"))
-    return leakage.suspicious(t, ["x1", "x2", "x3", "canary_leaked_outcome"], "y")
+    return rounded(leakage.suspicious(t, ["x1", "x2", "x3", "canary_leaked_outcome"], "y"))
 
 
 @query("logistic_model_auc", "L5")
@@ -225,7 +231,22 @@ def _penalty(spark, d):
         "inflation", F.col("auc") - honest.select("auc").scalar())
 
 
-@query("leakage_report", "L7")
+_AHEAD = " + ".join(
+    f"(SELECT count(*) FROM {t}, a WHERE {t}.available_at <= a.as_of AND {t}.{at} > a.as_of)"
+    for t, at in (("c_events", "occurred_at"), ("c_inv", "attempted_at"), ("c_subs", "started_at"),
+                  ("c_tickets", "opened_at"), ("c_touch", "sent_at")))
+
+
+@query("leakage_report", "L7", """
+WITH f AS (SELECT 'x1' AS feature, x1 AS x, y FROM c_trial UNION ALL SELECT 'x2', x2, y FROM c_trial
+  UNION ALL SELECT 'x3', x3, y FROM c_trial),
+""" + AUC_SQL.strip()[5:] + f""",
+m AS ({_moved("available_at", "f.available_at <= TIMESTAMP '2024-01-20'")}),
+a0 AS (SELECT as_of, row_number() OVER (ORDER BY as_of) AS k FROM (VALUES {_VALUES}) v(as_of)),
+l AS (SELECT 3 AS checks_run, (WITH a AS (SELECT as_of FROM a0 WHERE k > 3) SELECT {_AHEAD}) AS rows_ahead,
+  (SELECT CAST(sum(changed) AS BIGINT) FROM m) AS values_moved,
+  (SELECT count(*) FROM a WHERE greatest(auc, 1 - auc) >= 0.85) AS suspicious)
+SELECT *, rows_ahead = 0 AND values_moved = 0 AND suspicious = 0 AS passed FROM l""")
 def _report(spark, d):
     ds = src.dataset(spark, d)
     t = src.trial(spark, d)

@@ -58,11 +58,16 @@ def _money(spark, d):
                     decide.abstain_rule(F.col("prob_positive"), 0.3).alias("treat"))
 
 
-@query("gaussian_abstention", "M5")
+@query("gaussian_abstention", "M5", """
+WITH s AS (SELECT unit, -tau * value - cost AS money, (0.05 + x3 / 10) * value AS sd FROM c_scored),
+z AS (SELECT *, CASE WHEN sd <= 1e-12 THEN NULL ELSE least(greatest(money / sd, -9.0), 9.0) END AS z FROM s),
+c AS (SELECT *, CASE WHEN z IS NULL THEN CAST(money > 0 AS DOUBLE) WHEN z = 0 THEN 0.5 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi())
+  * list_sum(list_transform(range(0, 140), lambda k: exp((2 * k + 1) * ln(abs(z)) - lgamma(2 * k + 2) + k * ln(2.0::DOUBLE) + lgamma(k + 1)))) END AS c FROM z)
+SELECT unit, round(money, 6) AS expected_value, round(c, 6) AS confidence, c > 0.7 AS treat FROM c""")
 def _gaussian(spark, d):
     s = src.scored(spark, d).withColumn("sd", 0.05 + F.col("x3") / 10)
-    return effect.gaussian_rule(s, "tau", "sd", "value", "cost", 0.3).select(
-        "unit", "expected_value", "confidence", "treat")
+    return rounded(effect.gaussian_rule(s, "tau", "sd", "value", "cost", 0.3).select(
+        "unit", "expected_value", "confidence", "treat"))
 
 
 @query("tenant_effects", "B11 B10")

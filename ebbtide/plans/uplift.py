@@ -179,11 +179,33 @@ def _wins(spark, d):
         base="random_30pct"))
 
 
-@query("win_rate_intervals", "T20 T21")
+def _tail(k, p):
+    """P(X >= k) of a binomial of `draws` and `p`, as SQL text."""
+    return (f"list_sum(list_transform(range({k}, draws + 1), lambda i: exp(lgamma(draws + 1) - lgamma(i + 1) "
+            f"- lgamma(draws - i + 1) + i * ln({p}) + (draws - i) * ln(1 - {p}))))")
+
+
+@query("win_rate_intervals", "T20 T21", f"""
+WITH RECURSIVE p AS (SELECT n_customers, seed, max(value) FILTER (policy = 'random_30pct') AS base,
+  max(value) FILTER (policy = 'treat_all') AS a, max(value) FILTER (policy = 'top_k_money') AS b,
+  max(value) FILTER (policy = 'abstention_money') AS c FROM c_draws GROUP BY 1, 2),
+l AS (SELECT n_customers, 'treat_all' AS method, a AS v, base FROM p UNION ALL SELECT n_customers, 'top_k_money', b, base FROM p
+  UNION ALL SELECT n_customers, 'abstention_money', c, base FROM p),
+w AS (SELECT n_customers, method, count(*) FILTER (v > base) AS wins, count(*) AS draws FROM l WHERE base IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT *, 0 AS step, 0.0::DOUBLE AS a0, 1.0::DOUBLE AS a1, 0.0::DOUBLE AS b0, 1.0::DOUBLE AS b1 FROM w
+  UNION ALL SELECT n_customers, method, wins, draws, step + 1,
+    CASE WHEN {_tail('wins', '((a0 + a1) / 2)')} < 0.025 THEN (a0 + a1) / 2 ELSE a0 END,
+    CASE WHEN {_tail('wins', '((a0 + a1) / 2)')} < 0.025 THEN a1 ELSE (a0 + a1) / 2 END,
+    CASE WHEN wins < draws AND 1 - {_tail('wins + 1', '((b0 + b1) / 2)')} > 0.025 THEN (b0 + b1) / 2 ELSE b0 END,
+    CASE WHEN wins < draws AND 1 - {_tail('wins + 1', '((b0 + b1) / 2)')} > 0.025 THEN b1 ELSE (b0 + b1) / 2 END
+  FROM s WHERE step < 45)
+SELECT n_customers, method, wins, draws, round(wins / draws, 6) AS win_rate,
+  CASE WHEN wins = 0 THEN 0.0 ELSE round(a0, 6) END AS low, CASE WHEN wins = draws THEN 1.0 ELSE round(b0, 6) END AS high
+FROM s WHERE step = 45""")
 def _intervals(spark, d):
     w = correlate.win_rates(src.draws(spark, d), ["treat_all", "top_k_money",
                                                   "abstention_money"], base="random_30pct")
-    return correlate.with_interval(w, "wins", "draws")
+    return rounded(correlate.with_interval(w, "wins", "draws"))
 
 
 @query("spread_by_size", "T22", """
