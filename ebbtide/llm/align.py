@@ -102,6 +102,7 @@ class Aligner:
         self.pairs = linkable(self.a.piece, self.b.piece)
         self.bytes = [np.frombuffer(b"".join(t.piece), np.uint8) for t in (self.a, self.b)]
         self.length = [np.array([len(p) for p in t.piece], np.int64) for t in (self.a, self.b)]
+        self.names = [str(i) for i in range(max(len(self.a.piece), len(self.b.piece)))]
         self.chunks, self.memo = Memo(MEMO), Memo(MEMO)
         self.a.memo, self.b.memo = Memo(MEMO // 4), Memo(MEMO // 4)
 
@@ -117,7 +118,7 @@ class Aligner:
         links = np.searchsorted(self.pairs, sides[0][i].astype(np.int64) << 32 | sides[1][j]).astype("<i4")
         last = np.cumsum([len(k[0]) // 4 for k in keys]) - 1  # each window ends in a link
         ends = (np.searchsorted(i, last) + 1).tolist()
-        x, y = (list(map(str, side.tolist())) for side in sides)
+        x, y = (list(map(self.names.__getitem__, side.tolist())) for side in sides)
         groups, s, t = [], 0, 0
         for u, v in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
             groups.append(f"{x[s] if u == s + 1 else ','.join(x[s:u])}|"

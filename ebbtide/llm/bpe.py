@@ -324,16 +324,19 @@ class ByteBpe:
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks that are not known; what is one part as it stands needs no pattern."""
         young, old = self.memo.young, self.memo.old
-        parts = [[c] if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else self.parts.findall(c)
-                 for c in chunks]
-        new = list({p for x in parts for p in x if p not in young and p not in old})
+        whole, mixed = [], []
+        for c in chunks:
+            (whole if c.isalpha() or (c[0] == " " and c[1:].isalpha()) else mixed).append(c)
+        parts = [self.parts.findall(c) for c in mixed]
+        known = {p: young[p] if p in young else old.get(p) for x in parts for p in x}
+        known |= dict.fromkeys(whole)
+        new = [p for p, ids in known.items() if ids is None]
         tokens, owner = self.words([p.encode() for p in new])
         packed = tokens.astype("<u4").tobytes()
         ends = (4 * np.searchsorted(owner, np.arange(len(new) + 1))).tolist()
-        ids = {p: packed[a:b] for p, a, b in zip(new, ends, ends[1:], strict=False)}
-        get = lambda p: ids.get(p) or young.get(p) or old[p]
-        for c, x in zip(chunks, parts, strict=True):
-            young[c] = ids[c] if c in ids else b"".join(map(get, x))
+        known |= {p: packed[a:b] for p, a, b in zip(new, ends, ends[1:], strict=False)}
+        young.update((c, known[c]) for c in whole)
+        young.update((c, b"".join([known[p] for p in x])) for c, x in zip(mixed, parts, strict=True))
 
     def _cuts(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
         """Where chunks begin, and the ids of the special tokens among them, by where they begin.
