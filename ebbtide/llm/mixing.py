@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import ranked
-from .common import parts, stored, words
+from .common import parts, stored, unused, words
 
 WEIGHTS = (3, 1, 2)
 TOTAL, MOST = 1.5, 2.0
@@ -162,7 +162,7 @@ def draw(docs: DataFrame, group: int = GROUP, seed: int = SEED) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """`docs` with every row repeated as often as it was drawn; rows of one doc_id alike."""
-    copies = draw(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(copies.filter("_copies > 0").withColumnRenamed("doc_id", "_id"),
-                     F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key, copies, copy = unused(docs, "_id", "_copies", "_copy")
+    drawn = draw(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies))
+    return docs.join(drawn.filter(F.col(copies) > 0), F.col("doc_id").eqNullSafe(F.col(key))).withColumn(
+        copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 from .links import components
 from .tokens import U, Words, chunks, distinct, mix, shingles
 
@@ -300,7 +300,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id cannot be named by a component and all stay as they are.
     """
+    key, row = unused(docs, "_id", "_row")
     named = docs.filter(F.col("doc_id").isNotNull())
-    kept = classes(named).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return named.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(
-        ["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))
+    kept = classes(named).filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    # Of several rows of one doc_id the one that comes first by a hash of its values, in every run.
+    whole = F.struct(*docs.columns)
+    one = named.join(kept, F.col("doc_id") == F.col(key), "left_semi").groupBy("doc_id").agg(
+        F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row)).select(f"{row}.*")
+    return one.union(docs.filter(F.col("doc_id").isNull()))

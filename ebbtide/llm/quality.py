@@ -18,18 +18,20 @@ a statistic that is constant in a cell does not reject small deviations.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, stored, words
+from .common import let, stored, unused, words
 
 #: Smallest standard deviation that is believed, by statistic.
 FLOOR = {"word_length": 0.10, "symbols": 0.03, "dup_lines": 0.15, "repeats": 0.08, "capitals": 0.06}
-#: Share of a cell that the scatter is taken from, and the factor that undoes its shrinking.
-NEAREST, CONSISTENCY = 0.75, 1.6
+#: Share of a cell that the scatter is taken from.
+NEAREST = 0.75
 STEPS = 3
 #: Cells below this many rows use those of their language, then of all texts.
 MIN_CELL = 200
@@ -38,6 +40,29 @@ CUTOFF = 46.0
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 _D = list(FLOOR)
+
+
+def _within(x: float, k: int) -> float:
+    """The probability that chi-square of an odd number `k` of degrees lies below `x`."""
+    term = math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    out = math.erf(math.sqrt(x / 2))
+    for j in range(1, (k + 1) // 2):
+        out -= term
+        term *= x / (2 * j + 1)
+    return out
+
+
+def consistency(share: float, k: int) -> float:
+    """What the scatter of the nearest `share` of normal rows in `k` (odd) dimensions must be multiplied
+    by to be that of all: the share over that of chi-square(k + 2) below the same distance."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _within(middle, k) < share else (low, middle)
+    return share / _within(low, k + 2)
+
+
+CONSISTENCY = consistency(NEAREST, len(_D))
 _BINS = 128  # a unit, in binned quantiles
 
 
@@ -82,8 +107,15 @@ def statistics(docs: DataFrame) -> DataFrame:
             (F.length(joined) - F.length(F.regexp_replace(joined, "[A-Z]+", "")))
             .cast("long").alias("n_capitals"))))
 
-    return docs.select("doc_id", "lang", "source", let(words(text), measure).alias("_m")).select(
-        "doc_id", "lang", "source", "_m.*")
+    return docs.select("doc_id", "lang", "source", _row_key().alias("row_key"),
+                       let(words(text), measure).alias("_m")).select(
+        "doc_id", "lang", "source", "row_key", "_m.*")
+
+
+def _row_key() -> Column:
+    """What `judge` sees of a row, as one number: rows of one key have one verdict."""
+    return F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+                        for c in ("doc_id", "lang", "source", "text")])
 
 
 def _vector() -> dict[str, Column]:
@@ -155,25 +187,49 @@ def _names() -> list[str]:
             + [f"l{i}{j}" for i in range(len(_D)) for j in range(i + 1)])
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant location and Cholesky factor of each `cell` of `rows`."""
+def _sums(rows: DataFrame) -> DataFrame:
+    """What `_factor` needs of each cell."""
+    return rows.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(f"s{i}") for i, n in enumerate(_D)],
+        *[F.sum(F.col(_D[i]) * F.col(_D[j])).alias(f"s{i}{j}")
+          for i in range(len(_D)) for j in range(i + 1)])
+
+
+def _started(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every cell once for each start, named `cell`#start, as rows and as first estimates: medians and
+    absolute deviations, the moments of all rows, and those of the half nearest to the medians."""
     middle = _quantiles(rows, {name: (F.col(name), 0.5) for name in _D})
     near = rows.join(middle.select("cell", *[F.col(n).alias(f"_c{n}") for n in _D]), "cell")
     spread = _quantiles(near, {n: (F.abs(F.col(n) - F.col(f"_c{n}")), 0.5) for n in _D})
-    first = middle.join(spread.select("cell", *[F.col(n).alias(f"_w{n}") for n in _D]), "cell")
-    est = stored(first.select(
+    first = stored(middle.join(spread.select("cell", *[F.col(n).alias(f"_w{n}") for n in _D]), "cell").select(
         "cell", *[F.col(n).alias(f"m{i}") for i, n in enumerate(_D)],
         *[(F.greatest(1.4826 * F.col(f"_w{_D[i]}"), F.lit(FLOOR[_D[i]])) if i == j
            else F.lit(0.0)).alias(f"l{i}{j}") for i in range(len(_D)) for j in range(i + 1)]), "mcd")
+    boxed = rows.join(first, "cell").withColumn("_d", F.log1p(F.greatest(*[
+        F.abs(F.col(n) - F.col(f"m{i}")) / F.col(f"l{i}{i}") for i, n in enumerate(_D)])))
+    inner = boxed.join(_quantiles(boxed, {"_edge": (F.col("_d"), 0.5)}), "cell").filter("_d <= _edge")
+    starts = [first, _factor(_sums(rows)), _factor(_sums(inner))]
+    named = lambda k: F.concat(F.col("cell"), F.lit(f"#{k}"))
+    est = reduce(DataFrame.unionByName, [e.withColumn("cell", named(k)) for k, e in enumerate(starts)])
+    many = rows.select(F.explode(F.array(*[named(k) for k in range(len(starts))])).alias("cell"), *_D)
+    return many, stored(est, "mcd")
+
+
+def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Minimum-covariance-determinant location and Cholesky factor of each `cell` of `rows`.
+
+    All starts of all cells take their steps together; of each cell the one whose scatter has the least
+    determinant is kept, of equal ones the first.
+    """
+    many, est = _started(rows)
     for _ in range(steps):
-        scored = rows.join(est, "cell").withColumn("_d", F.log1p(_distance(F.col)))
+        scored = many.join(est, "cell").withColumn("_d", F.log1p(_distance(F.col)))
         edge = _quantiles(scored, {"_edge": (F.col("_d"), NEAREST)})
-        kept = scored.join(edge, "cell").filter(F.col("_d") <= F.col("_edge"))
-        est = stored(_factor(kept.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(f"s{i}") for i, n in enumerate(_D)],
-            *[F.sum(F.col(_D[i]) * F.col(_D[j])).alias(f"s{i}{j}")
-              for i in range(len(_D)) for j in range(i + 1)])), "mcd")
-    return est
+        est = stored(_factor(_sums(scored.join(edge, "cell").filter(F.col("_d") <= F.col("_edge")))), "mcd")
+    volume = sum((F.ln(f"l{i}{i}") for i in range(1, len(_D))), F.ln("l00"))
+    best = est.groupBy(F.expr("substring_index(cell, '#', greatest(1, size(split(cell, '#', -1)) - 1))").alias(
+        "_cell")).agg(F.min_by(F.struct(*_names()), F.struct(F.round(volume, 9), "cell")).alias("_e"))
+    return stored(best.select(F.col("_cell").alias("cell"), "_e.*"), "mcd")
 
 
 def judge(docs: DataFrame, min_cell: int = MIN_CELL, cutoff: float = CUTOFF) -> DataFrame:
@@ -184,13 +240,14 @@ def judge(docs: DataFrame, min_cell: int = MIN_CELL, cutoff: float = CUTOFF) ->
     failed = ((F.col("n_words") < MIN_WORDS)
               | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
     return rows.join(estimates(rows), "cell").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), _distance(F.col).alias("distance")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("distance") <= cutoff))
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that `judge` keeps, unchanged. Rows of one doc_id stay only together."""
-    bad = judge(docs, **options).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"),
-                     F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of `docs` that `judge` keeps, unchanged. Rows are told apart by all that is judged, so
+    those without a doc_id or with the same one stay or go by their own text."""
+    bad, = unused(docs, "_bad")
+    gone = judge(docs, **options).filter(~F.col("kept")).select(F.col("row_key").alias(bad)).distinct()
+    return docs.join(gone, _row_key() == F.col(bad), "left_anti")

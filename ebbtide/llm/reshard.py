@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import stored, unused
 
 OVERHEAD = 8
 BLOCKS = 1024
@@ -87,14 +87,15 @@ def even(total: int, shards: int) -> list[int]:
     return [total * (j + 1) // shards - total * j // shards for j in range(shards)]
 
 
-def measured(docs: DataFrame, shards: int, key: Column, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, size, text_crc32, the old shard that `key` gives and the block inside it."""
+def measured(docs: DataFrame, shards: int, key: Column, blocks: int = BLOCKS,
+             extra: Sequence[Column] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, the old shard that `key` gives and the block inside it; and `extra`."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select(
         "doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("old_shard"),
-        F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(blocks)).cast("int").alias("block"))
+        F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(blocks)).cast("int").alias("block"), *extra)
 
 
 def place(rows: DataFrame, shards: int) -> DataFrame:
@@ -149,12 +150,26 @@ def reshard(docs: DataFrame, shards: int, key: Column, blocks: int = BLOCKS) ->
     return place(stored(measured(docs, shards, key, blocks), "measured"), shards)
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Write the shards that gain or lose rows under `path`, and return their numbers."""
+def rewrite(docs: DataFrame, shards: int, key: Column, path: str, blocks: int = BLOCKS) -> DataFrame:
+    """Place all rows, write the shards that gain or lose rows under `path`, and return the placed rows.
+
+    Rows are told apart by a number that they get in a written copy, so rows without a doc_id, with the
+    same one, or equal in all columns are each written once. The folders are called `shard=0` and so on,
+    with underscores behind the name where `docs` has a column of that name; its columns are unchanged.
+    """
+    row, folder, order = unused(docs, "_row", "shard", "slot")
+    copy = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    placed = stored(place(stored(measured(copy, shards, key, blocks, [F.col(row)]), "measured"), shards),
+                    "replaced")
+    touched = touched_shards(placed)
+    here = placed.filter(F.col("shard").isin(touched)).select(
+        row, F.col("shard").alias(folder), F.col("slot").alias(order))
+    copy.join(here, row).drop(row).repartition(folder, F.pmod(order, F.lit(16))).write.partitionBy(
+        folder).parquet(path)
+    return placed.drop(row)
+
+
+def touched_shards(placed: DataFrame) -> list[int]:
+    """The numbers of the shards that gain or lose rows."""
     moved = placed.filter("shard <> old_shard")
-    touched = sorted({r[0] for r in moved.select(F.explode(F.array("shard", "old_shard")))
-                      .distinct().collect()})
-    here = placed.filter(F.col("shard").isin(touched)).select("doc_id", "shard", "slot")
-    docs.join(here, "doc_id").repartition("shard", F.pmod("slot", F.lit(16))).write.partitionBy(
-        "shard").parquet(path)
-    return touched
+    return sorted(r[0] for r in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect())

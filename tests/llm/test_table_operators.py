@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ebbtide.llm import links, mixing, near, passages, quality, reshard, urls
+from ebbtide.llm import links, mixing, near, passages, quality, reshard, urls, wfst
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -110,12 +110,79 @@ def test_reshard_places_every_row(docs, none, rows, spark, tmp_path):
     assert all(abs(total[j] - sum(total.values()) / 6) <= biggest for j in range(6))
     assert reshard.reshard(none, 6, F.col("source")).count() == 0
     unique = docs.dropDuplicates(["doc_id"])
-    here = reshard.reshard(unique, 6, F.col("source"), blocks=8)
-    path = f"{tmp_path}/shards"
-    touched = reshard.rewrite(unique, here, path)
-    back = spark.read.parquet(path)
-    assert {(r.doc_id, r.shard) for r in back.select("doc_id", "shard").collect()} == {
-        (r.doc_id, r.shard) for r in here.collect() if r.shard in touched}
+    for k, frame in enumerate((unique, docs, hard(docs))):  # repeated rows, no doc_id, clashing names
+        path = f"{tmp_path}/shards{k}"
+        here = reshard.rewrite(frame, 6, F.col("source"), path, blocks=8)
+        touched = reshard.touched_shards(here)
+        back = spark.read.parquet(path)
+        name = reshard.unused(frame, "shard")[0]
+        assert Counter(map(str, back.select("doc_id", F.col(name)).collect())) == Counter(
+            f"Row(doc_id={r.doc_id}, {name}={r.shard})" for r in here.collect() if r.shard in touched)
+        assert {"text", "lang", *frame.columns} <= set(back.columns)
+
+
+CLASHING = ("_id", "_spans", "_copies", "_copy", "_bad", "shard", "slot", "pieces", "_row", "component", "node")
+
+
+def hard(docs):
+    """Columns that are called like those the operators make, and rows without a doc_id."""
+    return docs.withColumns({c: F.lit(f"mine {c}") for c in CLASHING}).withColumn(
+        "doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("doc_id")))
+
+
+def test_stages_keep_columns_of_any_name(docs):
+    given = hard(docs).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(docs.sparkSession, given, "")
+        assert out.columns == given.columns, name
+        assert out.select(*CLASHING).distinct().collect() == given.select(*CLASHING).distinct().collect(), name
+    out = wfst.encode(given)
+    assert set(out.columns) == {*given.columns, "decoded"} and out.count() == given.count()
+
+
+def test_rows_without_a_doc_id_are_judged_by_their_own_text(docs):
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    kept = Counter(r.text for r in quality.keep(nameless).collect())
+    bad = quality.judge(docs).filter("not kept").select("doc_id")
+    want = Counter(r.text for r in docs.join(bad, "doc_id", "left_anti").collect())
+    assert kept == want and sum(kept.values())
+
+
+def test_the_row_of_a_repeated_doc_id_does_not_depend_on_the_order(spark, docs):
+    twice = docs.union(docs.withColumn("text", F.concat(F.lit("other words "), "text"))).cache()
+    seen = {tuple(sorted((r.doc_id, str(r.text)) for r in near.dedup(twice.repartition(n, "rank")).collect()))
+            for n in (1, 5)}
+    assert len(seen) == 1
+
+
+def test_consistency_factor_is_that_of_normal_rows():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400_000, 5))
+    d = (x ** 2).sum(1)
+    inner = x[d <= np.quantile(d, quality.NEAREST)]
+    assert quality.CONSISTENCY == pytest.approx(1 / inner.var(), rel=0.01)
+
+
+def test_estimate_has_the_least_determinant_of_many_starts(spark):
+    """No start of a plain version with two thousand starts ends lower by more than a hair."""
+    rng = np.random.default_rng(8)
+    good = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5))
+    x = np.concatenate([good, rng.normal(loc=9, size=(40, 5))])
+    frame = spark.createDataFrame([("c#1", *map(float, r)) for r in x],
+                                  "cell string, " + ", ".join(f"{n} double" for n in quality._D))
+    est = quality.estimates(frame, steps=8).first()
+    assert est.cell == "c#1"
+    mine = 2 * sum(math.log(est[f"l{i}{i}"]) for i in range(5))
+    h, floor = int(0.75 * len(x)), np.diag([v ** 2 for v in quality.FLOOR.values()])
+    scatter = lambda y: quality.CONSISTENCY * np.cov(y.T, bias=True) + floor
+    best = math.inf
+    for _ in range(300):
+        y = x[rng.choice(len(x), 8, replace=False)]
+        for _ in range(12):
+            d = x - y.mean(0)
+            y = x[np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(scatter(y)), d))[:h]]
+        best = min(best, np.linalg.slogdet(scatter(y))[1])
+    assert mine <= best + 0.15
 
 
 def water(sizes, weights, total):
