@@ -38,7 +38,7 @@ def prob_positive(a: Column) -> Column:
 def quantile(a: Column, q: float) -> Column:
     """Linear interpolation between the order statistics of one row's draws."""
     if not 0.0 <= q <= 1.0:
-        raise ValueError("q must be in [0, 1]")
+        raise ValueError(f"{q} is no share of the draws")
     s = F.array_sort(a)
     pos = F.lit(q) * (F.size(a) - 1)
     lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
@@ -60,7 +60,7 @@ def check_money(df: DataFrame, value: str, costs: Sequence[str]) -> None:
     if row[0]:
         raise ValueError(f"{row[0]} customer values are negative or not finite")
     if any(row[1:]):
-        raise ValueError("offer cost cannot be negative")
+        raise ValueError(f"{sum(row[1:])} offers cost less than nothing")
 
 
 def summarise_draws(df: DataFrame, draws: str, keep: Sequence[str], q: float = 0.05

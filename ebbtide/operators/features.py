@@ -164,25 +164,26 @@ def ratio(df: DataFrame, name: str, num: str, den: str, fill: float = 1.0) -> Da
 
 def standard_specs(session: str = "session_start") -> list[FeatureSpec]:
     """tenure, price, engagement, billing health, support and contact history."""
-    S, failed, sent = {"name": session}, {"status": "failed"}, {"arm": "treatment"}
+    # Names, windows, filters and fills of the standard features.
     return [
         FeatureSpec("tenure_days", "subscriptions", "age_days", "started_at"),
         FeatureSpec("mrr", "subscriptions", "max", "mrr"),
-        FeatureSpec("sessions_30d", "events", "count", window_days=30, where=S),
-        FeatureSpec("sessions_prev_30d", "events", "count", window_days=60, where=S),
+        FeatureSpec("sessions_30d", "events", "count", window_days=30, where={"name": session}),
+        FeatureSpec("sessions_prev_30d", "events", "count", window_days=60, where={"name": session}),
         FeatureSpec("days_since_last_session", "events", "recency_days", window_days=365,
-                    where=S, fill=365.0),
+                    where={"name": session}, fill=365.0),
         FeatureSpec("distinct_features_30d", "events", "nunique", "name", window_days=30),
-        FeatureSpec("payment_failures_90d", "invoices", "count", window_days=90, where=failed),
-        FeatureSpec("payment_failures_ltd", "invoices", "count", where=failed),
-        FeatureSpec("days_since_last_failure", "invoices", "recency_days", where=failed,
+        FeatureSpec("payment_failures_90d", "invoices", "count", window_days=90,
+                    where={"status": "failed"}),
+        FeatureSpec("payment_failures_ltd", "invoices", "count", where={"status": "failed"}),
+        FeatureSpec("days_since_last_failure", "invoices", "recency_days", where={"status": "failed"},
                     fill=999.0),
         FeatureSpec("amount_paid_180d", "invoices", "sum", "amount", window_days=180,
                     where={"status": "paid"}),
         FeatureSpec("tickets_90d", "tickets", "count", window_days=90),
         FeatureSpec("days_since_last_ticket", "tickets", "recency_days", fill=999.0),
-        FeatureSpec("interventions_ltd", "interventions", "count", where=sent),
-        FeatureSpec("days_since_last_intervention", "interventions", "recency_days", where=sent,
+        FeatureSpec("interventions_ltd", "interventions", "count", where={"arm": "treatment"}),
+        FeatureSpec("days_since_last_intervention", "interventions", "recency_days", where={"arm": "treatment"},
                     fill=999.0),
     ]
 

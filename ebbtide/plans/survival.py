@@ -502,3 +502,19 @@ def _overlap(spark, d):
     b = book(spark, d).select("unit", F.round("value_at_risk", 9).alias("a"),
                               F.round("hazard_next", 9).alias("b"))
     return rounded(value.top_overlap(b, "a", "b"))
+
+
+@query("isotonic_fit", "U7", """
+WITH c AS (SELECT floor(mrr) AS x, count(*) AS n, sum(CAST(event > 0 AS INTEGER) + duration % 5) AS s FROM c_surv GROUP BY 1),
+r AS (SELECT x, row_number() OVER (ORDER BY x) AS k, sum(n) OVER (ORDER BY x) AS n1, sum(s) OVER (ORDER BY x) AS s1, n, s FROM c),
+p AS (SELECT a.k AS a, b.k AS b, (b.s1 - a.s1 + a.s) / (b.n1 - a.n1 + a.n)::DOUBLE AS m FROM r a JOIN r b ON b.k >= a.k),
+l AS (SELECT a, b AS k, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM p),
+v AS (SELECT r.x, max(l.m) AS value FROM r JOIN l ON l.k = r.k AND l.a <= r.k GROUP BY 1)
+SELECT CAST(x AS DOUBLE) AS x, round(value, 6) AS value FROM v""")
+def _isotonic(spark, d):
+    """The rising fit of a noisy outcome on the price, against the formula of largest least means."""
+    from ..operators import isotonic
+
+    s = src.survival(spark, d).select(F.floor("mrr").cast("double").alias("x"), (
+        (F.col("event") > 0).cast("int") + F.col("duration") % 5).cast("double").alias("y"))
+    return rounded(isotonic.predict(s.select("x").distinct(), isotonic.fit(s, "x", "y"), "x"))
