@@ -137,7 +137,8 @@ def aligners(spec):
     with open(align.MODEL, "rb") as f:
         own = align.Aligner(spec, f.read())
     model = sentencepiece.SentencePieceProcessor(model_file=align.MODEL)
-    return own, lambda t: plain_alignment(t, library(True), model, own.a.piece, own.b.piece)
+    lib = library(True)
+    return own, lambda t: plain_alignment(t, lib, model, own.a.piece, own.b.piece)
 
 
 @pytest.mark.parametrize("parted", [True, False])
