@@ -71,15 +71,16 @@ def as_of(asks: DataFrame, facts: DataFrame, at: str, values: Mapping[str, Colum
     enough or the time is NULL. `facts` has one row per group and time. Both sides are ordered as one
     by range and written once; a slice carries its last fact on, and what earlier slices of the group
     have seen last is added to the rows before a slice's own first fact. Neither side is broadcast, and
-    no time or group has to fit into a task.
+    no time or group has to fit into a task: rows of one time are dealt by a hash of their columns.
     """
     kind = {r.name: r.dataType for r in asks.schema}
-    left = asks.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*asks.columns).alias("_row"),
-                       F.lit(None).alias("_fact"))
+    tie = F.xxhash64(*[c for c in asks.columns if "map<" not in kind[c].simpleString()])
+    left = asks.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_kind"), tie.alias("_tie"),
+                       F.struct(*asks.columns).alias("_row"), F.lit(None).alias("_fact"))
     right = facts.filter(F.col(at).isNotNull()).select(
-        *by, F.col(at).cast(kind[at]).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).alias("_row"),
-        F.struct(*[v.alias(k) for k, v in values.items()]).alias("_fact"))
-    keys = [*[F.col(b) for b in by], F.col("_at"), F.col("_kind")]  # NULL comes first
+        *by, F.col(at).cast(kind[at]).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"),
+        F.lit(None).alias("_row"), F.struct(*[v.alias(k) for k, v in values.items()]).alias("_fact"))
+    keys = [*[F.col(b) for b in by], F.col("_at"), F.col("_kind"), F.col("_tie")]  # NULL comes first
     rows = cut(left.unionByName(right).repartitionByRange(*keys).withColumn(_SLICE, F.spark_partition_id()))
     # One row per slice and group.
     last = rows.groupBy(*by, _SLICE).agg(F.max_by("_fact", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_last"))

@@ -25,3 +25,19 @@ def test_months_hold_the_events_that_rows_are(spark):
     again = months.select(F.explode("events").alias("e")).select("e.*")
     assert again.columns == rows.columns
     assert sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_rows_of_one_time_are_dealt_to_many_slices(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(order, "cut", lambda df: held.append(df.cache()) or held[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        asks = spark.range(4000).select("id", F.when(F.col("id") < 3900, 5.0).otherwise(1.0).alias("t"))
+        facts = spark.createDataFrame([(2.0, "x"), (5.0, "y"), (9.0, "z")], "t double, v string")
+        got = order.as_of(asks, facts, "t", {"v": F.col("v")}, F.lit("none")).groupBy("t", "v").count().collect()
+        assert {tuple(r) for r in got} == {(5.0, "y", 3900), (1.0, "none", 100)}
+        largest = max(r["count"] for r in held[0].groupBy("_slice").count().collect())
+        assert largest < 2500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        held[0].unpersist()
