@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..schema import INVOICES, SUBSCRIPTIONS
+from ..session import spread
 from ..sources import canonical as src
 from ..sources import csv_export as csv
 from ..sources import processor_json as pj
@@ -130,7 +131,7 @@ def _tenant(spark, d):
 
 def _objects(spark, d):
     """The order rows as processor objects in JSON text, parsed back with the fixed schema."""
-    o = src.raw(spark, d, "orders")
+    o = spread(src.raw(spark, d, "orders"))  # text is made and parsed
     cust = src.raw(spark, d, "customer").selectExpr("to_json(struct(concat('cus_', c_custkey) AS id, 883612800 + c_custkey * 3600 AS created, "
                         "struct(cast(c_nationkey AS string) AS country) AS address, "
                         "CASE WHEN c_custkey % 4 <> 0 THEN struct(c_mktsegment AS segment) END "

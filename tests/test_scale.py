@@ -27,6 +27,12 @@ def test_months_hold_the_events_that_rows_are(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
 
 
+def test_tasks_follow_the_size_of_files(spark, tmp_path):
+    big = spark.range(10_000_000)  # 80 MB by the planner's estimate
+    assert spread(big).rdd.getNumPartitions() >= 70
+    assert spread(spark.range(10)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_rows_of_one_time_are_dealt_to_many_slices(spark, monkeypatch):
     held = []
     monkeypatch.setattr(order, "cut", lambda df: held.append(df.cache()) or held[-1])
