@@ -64,3 +64,48 @@ def test_draws_of_a_batch_are_not_held_at_once():
     m = -(1 / (1 + np.exp(-(eta + tau))) - 1 / (1 + np.exp(-eta))) * v[3999] - c[3999]
     assert got.loc[3999, "mean"] == pytest.approx(m.mean()) and got.loc[3999, "low"] == pytest.approx(
         np.quantile(m, 0.05))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    d = spark.range(1500).select(F.col("id").alias("unit"), F.floor(uniform("a", "id") * 20).alias("a"),
+                                 F.floor(uniform("b", "id") * 3).alias("b"))
+    return d.withColumn("y", (uniform("y", "unit") < expit(F.col("a") / 5 - F.col("b"))).cast("int")).cache()
+
+
+def test_trees_on_counts_are_the_trees_on_rows(spark, labelled, monkeypatch):
+    held = []
+    monkeypatch.setattr(models, "cut", lambda df: held.append(df) or df)
+    got = models.boosted(labelled, ["a", "b"], "y", rounds=6).score(labelled, "p")
+    assert held[-1].count() <= 20 * 3 * 2 and held[-1].agg(F.sum("_w")).first()[0] == 1500
+    x = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(labelled)
+    plain = GBTClassifier(featuresCol="x", labelCol="y", maxIter=6, stepSize=0.06, maxDepth=3, seed=0).fit(x)
+    want = plain.transform(x).select("unit", vector_to_array("probability")[1].alias("q"))
+    gap = got.join(want, "unit").agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
+    assert gap < 1e-9
+
+
+def test_borders_share_the_rows_out(spark):
+    d = spark.range(30_000).select((F.col("id") * 1.0).alias("fine"), (F.col("id") % 3).alias("few"))
+    fine, few = models.borders(d, ["fine", "few"], 30_000)
+    assert few == [0.5, 1.5] and len(fine) == 31
+    assert np.allclose(np.diff([0, *fine, 30_000]), 30_000 / 32, atol=10)
+
+
+def test_logistic_fit_is_the_least_loss(labelled):
+    m = models.logistic(labelled, ["a", "b"], "y").model
+    pdf = labelled.toPandas()
+    z = (pdf[["a", "b"]].to_numpy() - m.mean) / m.spread
+    r = pdf["y"] - 1 / (1 + np.exp(-(m.theta[0] + z @ m.theta[1:])))
+    assert abs(r.sum()) < 1e-6 and np.abs(z.T @ r - m.theta[1:]).max() < 1e-6
+
+
+@pytest.mark.parametrize("basis", ["spline", "dummies", "raw"])
+def test_units_and_their_periods_give_one_fit(spark, basis):
+    d = spark.range(400).select(F.col("id").alias("unit"), uniform("x", "id").alias("x"), (uniform("z", "id") < 0.5)
+                                .cast("int").alias("z"), (1 + F.col("id") % 9).cast("int").alias("duration"),
+                                (F.col("id") % 4).cast("int").alias("event"))
+    new = lambda: survival.DiscreteHazard(["x", "z"], basis=basis, pool_after=5, cause=1)
+    units, periods = new().fit(d).model.model, new().fit_periods(survival.person_period(d, 1)).model.model
+    assert np.allclose(units.theta, periods.theta, atol=1e-6)
+    assert np.allclose(units.mean, periods.mean) and np.allclose(units.spread, periods.spread)
