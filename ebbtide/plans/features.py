@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import features as ft
 from ..operators import leakage
 from ..operators.churn import union_all
-from ..session import cut
+from ..session import cut, written
 from ..sources import canonical as src
 from .churn import rounded
 from .registry import query
@@ -219,13 +219,11 @@ def _penalty(spark, d):
              .agg(F.max(((F.col("ended_at") > F.col("as_of"))
                          & (F.col("ended_at") <= F.col("as_of") + F.expr("INTERVAL '90' DAY")))
                         .cast("int")).alias("y")).fillna(0, ["y"]))
-    label = cut(label)
-    parts = []
-    for mode in (ft.SAFE, ft.OCCURRED_ONLY, ft.NO_FILTER):
-        p = cut(ft.standard_panel(ds, label, AS_OFS, mode)
-                .join(label, ["customer_id", "as_of"]))
-        parts.append(leakage.model_auc(p, ft.feature_names(), "y").select(
-            F.lit(mode).alias("mode"), "n", "n_pos", "auc"))
+    label = written(label, "label")
+    panels = written(ft.standard_panel(ds, label, AS_OFS, ft.MODES).join(label, ["customer_id", "as_of"]),
+                     "panels", "mode")
+    parts = [leakage.model_auc(panels.filter(F.col("mode") == m), ft.feature_names(), "y").select(
+        F.lit(m).alias("mode"), "n", "n_pos", "auc") for m in ft.MODES]
     honest = cut(parts[0])
     return union_all([honest, *parts[1:]]).withColumn(
         "inflation", F.col("auc") - honest.select("auc").scalar())

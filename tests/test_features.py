@@ -86,3 +86,28 @@ def test_canary_is_found_and_honest_features_are_not(spark):
 def test_auc_with_one_class_is_null(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 1)], "x double, y int")
     assert leakage.auc(df, "x", "y").first()["auc"] is None
+
+
+def test_rows_are_shuffled_once_for_all_moments_and_gates(spark, day):
+    rows = [(str(k), "abc"[k % 3], "session_start", day(k % 9), day(k % 9 + k % 4), float(k)) for k in range(400)]
+    events = spark.createDataFrame(rows, EVENTS.struct)
+    specs = [s for s in ft.standard_specs() if s.table == "events"]
+    at = [day(3), day(6), day(30)]
+    got = ft.table_features(events, EVENTS, specs, at, ft.MODES)
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange") == 1
+    assert plan.index("Generate explode") < plan.index("Exchange")  # printed from the last step down
+    want = [(r.customer_id, r.as_of, m, *r[2:]) for m in ft.MODES
+            for r in ft.table_features(events, EVENTS, specs, at, m).collect()]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+
+
+def test_panels_of_several_gates_are_those_of_each(spark, day):
+    ds = tenant(spark, [("a", "session_start", day(1), day(4), 1.0), ("b", "session_start", day(3), day(3), 1.0)])
+    specs = [ft.FeatureSpec("n", "events", "count", fill=-1.0)]
+    spine = ds.customers.select("customer_id", F.explode(ft.moments([day(0), day(2), day(5)])).alias("as_of"))
+    at = [day(0), day(2), day(5)]
+    both = ft.panel(ds, spine, at, specs, [ft.SAFE, ft.OCCURRED_ONLY])
+    for m in (ft.SAFE, ft.OCCURRED_ONLY):
+        alone = ft.panel(ds, spine, at, specs, m).collect()
+        assert sorted(map(str, alone)) == sorted(map(str, both.filter(F.col("mode") == m).drop("mode").collect()))
