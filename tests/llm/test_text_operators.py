@@ -338,6 +338,32 @@ def test_language_model(docs, none, rows):
     assert lm.score(none).count() == 0
 
 
+def test_words_are_scored_in_their_context(spark):
+    rng = random.Random(3)
+    follow = {a: rng.sample(range(60), 4) for a in range(60)}
+
+    def chain(n):
+        w = [rng.randrange(60)]
+        while len(w) < n:
+            w.append(rng.choice(follow[w[-1]]))
+        return w
+    texts = [chain(80) for _ in range(250)]
+    ids = range(1000, 1250)
+    held = [i for i in ids if zlib.crc32(str(i).encode()) % 5 == 1]
+    twins = [i for i in range(2000, 3000) if zlib.crc32(str(i).encode()) % 5 == 1][:len(held)]
+    mixed = [rng.sample(texts[i - 1000], 80) for i in held]
+    say = lambda w: " ".join(f"w{k}" for k in w)
+    rows = [(i, say(w)) for i, w in zip([*ids, *twins], [*texts, *mixed], strict=True)]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, twin in zip(held, twins, strict=True):
+        assert got[i].base_score == pytest.approx(got[twin].base_score)
+        assert got[i].score > got[twin].score + 20
+    # Perplexity falls from about 60 words to about four.
+    tokens = sum(got[i].n_tokens for i in held)
+    assert 3.5 < 10 ** (-sum(got[i].score for i in held) / tokens) < 6
+    assert 10 ** (-sum(got[i].base_score for i in held) / tokens) > 50
+
+
 def test_bucketed_words_score_as_frequent_ones(docs, monkeypatch):
     want = sorted(map(tuple, lm.score(docs).collect()), key=lambda r: r[0])
     monkeypatch.setattr(lm, "RARE", 20)
