@@ -207,6 +207,71 @@ def test_passages_with_a_replaced_word_are_found(spark):
     assert len(whole) >= 0.95 * len(rows) / 2
 
 
+def test_every_pair_of_spans_that_are_alike_is_in_a_passage():
+    rng = random.Random(31)
+    least, met = passages.LEAST_RUN, 0
+    for case in range(60):
+        fresh = iter(range(10 ** 6 * (case + 1), 10 ** 6 * (case + 2)))
+        base = [next(fresh) for _ in range(rng.randint(50, 72))]
+        a, b = list(base), list(base)
+        for _ in range(rng.randint(0, 3)):  # words are put in, left out, replaced or moved
+            side, at, n = rng.choice([a, b]), rng.randrange(50), rng.randint(1, 3)
+            kind = rng.randrange(4)
+            if kind == 0:
+                side[at:at] = [next(fresh) for _ in range(n)]
+            elif kind == 1:
+                del side[at:at + n]
+            elif kind == 2:
+                side[at:at + 1] = [next(fresh)]
+            else:
+                side[:] = side[at:] + side[:at]
+        a, b = ([next(fresh) for _ in range(6)] + x + [next(fresh) for _ in range(6)] for x in (a, b))
+        x, y = (np.array([hash(tuple(w[k:k + 5])) for k in range(len(w) - 4)]).astype(np.uint64) for w in (a, b))
+        bit = {h: 1 << k for k, h in enumerate(dict.fromkeys([*x.tolist(), *y.tolist()]))}
+        both = set(x.tolist()) & set(y.tolist())
+        theirs = [k for k, h in enumerate(y.tolist()) if h in both]
+        ends = [k for k, h in enumerate(x.tolist()) if h in both]
+        masks = []
+        for t in theirs:
+            mask = 0
+            for u in range(t, len(y)):
+                mask |= bit[int(y[u])]
+                if u in theirs:
+                    masks.append(mask)
+        got = passages.aligned(x, y)
+        for s, e, t, u, p in got:
+            assert e - s >= least and p >= 0.75
+            assert p == pytest.approx(len(set(x[s:e]) & set(y[t:u])) / len(set(x[s:e]) | set(y[t:u])))
+        for s in ends:
+            for e in (e + 1 for e in ends if e + 1 - s >= least):
+                mine = sum(bit[h] for h in set(x[s:e].tolist()))
+                if any(4 * (mine & m).bit_count() >= 3 * (mine | m).bit_count() for m in masks):
+                    met += 1
+                    assert any(q[0] <= s and e <= q[1] for q in got), (case, s, e, got)
+    assert met > 1000
+
+
+def test_passages_meet_a_later_holder_that_is_more_alike(spark):
+    rng = random.Random(8)
+    line = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(0, 4000, 100):
+        passage = line(60)
+        # Earlier texts hold two thirds of the passage or less, and so head most of its keys.
+        parts = [passage[a:a + 38] for a in (0, 5, 10, 15, 20, 22)]
+        rows += [(k + i, " ".join(line(20) + p + line(20))) for i, p in enumerate(parts)]
+        for i, edit in ((6, 0), (7, 25), (8, 35)):
+            changed = passage[:edit] + line(1) + passage[edit + 1:]
+            rows.append((k + i, " ".join(line(30) + (changed if edit else passage) + line(30))))
+        want |= {(k + 7, k + 6), (k + 8, k + 6)}
+        rows.append((k + 9, rows[-1][1]))
+        want.add((k + 9, k + 8))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.other_id) for r in passages.repeats(frame).collect()}
+    assert len(want & got) >= 0.99 * len(want)
+    assert not {p for p in got if p[1] % 100 < 6 and p[0] % 100 >= 6 and p not in want}
+
+
 def test_fingerprints_follow_the_next_document(docs, none, rows):
     texts = sorted(((k, t or "") for k, t, *_ in rows), key=lambda x: (-x[0], x[1]))
     got = {r.doc_id: r for r in spotsigs.fingerprints(docs).collect()}
