@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -272,6 +273,38 @@ def test_passages_meet_a_later_holder_that_is_more_alike(spark):
     assert not {p for p in got if p[1] % 100 < 6 and p[0] % 100 >= 6 and p not in want}
 
 
+def test_many_holders_of_a_key_are_paired_block_by_block(spark, monkeypatch):
+    rng = random.Random(9)
+    line = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    passage, rows = line(70), []
+    for k in range(40):  # each holder has a word of its own, so that no two share a whole run
+        rows.append((k, " ".join(line(20) + passage[:35] + line(1) + passage[35:] + line(20))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(passages, "BLOCK", 6)
+    monkeypatch.setattr(passages, "PAIRS", 50)
+    kept = []
+    monkeypatch.setattr(passages, "paired", lambda met, f=passages.paired: f(kept.append(met) or met))
+    got = {(r.doc_id, r.other) for r in passages.candidates(frame).collect()}
+    assert got == {(a, b) for a in range(40) for b in range(a)}
+    # A row has as many texts as a block at most, and blocks of one set meet once.
+    met = kept[0].collect()
+    assert max(len(x or []) for r in met for x in (r.docs, r.others)) == 6
+    assert len(met) == len({(tuple(r.docs), tuple(r.others or ())) for r in met})
+
+
+def test_spans_of_a_long_chain_are_tried_in_parts():
+    n = 2500  # five equal shingles between changes: no span is alike, and there are three million
+    a = np.arange(6 * n, dtype=np.uint64)
+    b = np.where(a % 6 == 0, a + 10 ** 6, a).astype(np.uint64)
+    b[60:90] = a[60:90]
+    tracemalloc.start()
+    got = passages.aligned(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) and all(p >= 0.75 for *_, p in got)
+    assert peak < 100e6
+
+
 def test_fingerprints_follow_the_next_document(docs, none, rows):
     texts = sorted(((k, t or "") for k, t, *_ in rows), key=lambda x: (-x[0], x[1]))
     got = {r.doc_id: r for r in spotsigs.fingerprints(docs).collect()}
