@@ -177,7 +177,8 @@ def panel(ds: Dataset, spine: DataFrame, as_ofs: Sequence[dt.datetime],
         out = out.select("*", F.explode(F.array(*[F.lit(m) for m in mode])).alias("mode"))
     for name in dict.fromkeys(s.table for s in specs):
         mine = [s for s in specs if s.table == name]
-        out = out.join(table_features(ds.table(name), TABLES[name], mine, as_ofs, mode),
+        # Estimates do not see rows repeated by moment and mode, and so would broadcast large sides.
+        out = out.join(table_features(ds.table(name), TABLES[name], mine, as_ofs, mode).hint("merge"),
                        by, "left")
     return out.select(*by, *[
         F.coalesce(F.col(s.name), F.lit(float(s.fill))).alias(s.name) for s in specs])

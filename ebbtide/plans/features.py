@@ -220,8 +220,9 @@ def _penalty(spark, d):
                          & (F.col("ended_at") <= F.col("as_of") + F.expr("INTERVAL '90' DAY")))
                         .cast("int")).alias("y")).fillna(0, ["y"]))
     label = written(label, "label")
-    panels = written(ft.standard_panel(ds, label, AS_OFS, ft.MODES).join(label, ["customer_id", "as_of"]),
-                     "panels", "mode")
+    # The written labels are estimated by their compressed size, far below what a broadcast of them takes.
+    panels = written(ft.standard_panel(ds, label, AS_OFS, ft.MODES).join(
+        label.hint("merge"), ["customer_id", "as_of"]), "panels", "mode")
     parts = [leakage.model_auc(panels.filter(F.col("mode") == m), ft.feature_names(), "y").select(
         F.lit(m).alias("mode"), "n", "n_pos", "auc") for m in ft.MODES]
     honest = cut(parts[0])

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import expit, uniform
 from ebbtide.operators import effect, models, order, shaping, survival
-from ebbtide.session import spread
+from ebbtide.plans import catalogue, features
+from ebbtide.session import spread, written
 
 
 def test_months_hold_the_events_that_rows_are(spark):
@@ -109,3 +110,24 @@ def test_units_and_their_periods_give_one_fit(spark, basis):
     units, periods = new().fit(d).model.model, new().fit_periods(survival.person_period(d, 1)).model.model
     assert np.allclose(units.theta, periods.theta, atol=1e-6)
     assert np.allclose(units.mean, periods.mean) and np.allclose(units.spread, periods.spread)
+
+
+def test_panels_and_their_labels_are_not_broadcast(spark, monkeypatch):
+    """Both take far more memory than the planner's estimate of what is written or not yet repeated."""
+    held = {}
+
+    class Enough(Exception):
+        pass
+
+    def kept(df, name, *by):
+        if name == "panels":
+            held[name] = df
+            raise Enough
+        return written(df, name, *by)
+
+    monkeypatch.setattr(features, "written", kept)
+    with pytest.raises(Enough):
+        catalogue()["leakage_penalty"].run(spark, "/root/testdata/sf0.001")
+    joins = [line for line in held["panels"]._jdf.queryExecution().executedPlan().toString().splitlines()
+             if "Join" in line and "as_of" in line]
+    assert len(joins) == 6 and all("SortMergeJoin" in line for line in joins)
