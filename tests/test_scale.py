@@ -131,3 +131,19 @@ def test_panels_and_their_labels_are_not_broadcast(spark, monkeypatch):
     joins = [line for line in held["panels"]._jdf.queryExecution().executedPlan().toString().splitlines()
              if "Join" in line and "as_of" in line]
     assert len(joins) == 6 and all("SortMergeJoin" in line for line in joins)
+
+
+def test_months_are_expanded_in_bounded_parts_and_not_by_a_lambda(spark, monkeypatch):
+    panel = spark.createDataFrame([("a", 0, 70), ("a", None, 3), ("b", 2, 9), (None, 1, 2), ("é", 5, 1)],
+                                  "unit string, month int, sessions bigint").repartition(1)
+    start = shaping.month_start(F.col("month"), "2024-01-01 00:00:00")
+    rows = shaping.expand_counts(panel, "sessions", start, "ev_")
+    months = shaping.expand_counts(panel, "sessions", start, "ev_", nested=True)
+    assert "lambda" not in months._jdf.queryExecution().executedPlan().toString()
+    again = months.select(F.explode("events").alias("e")).select("e.*")
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
+    monkeypatch.setattr(shaping, "EVENTS", 8)
+    batch = months.select(F.lit(1)).sparkSession.createDataFrame(
+        [("a", 0, 10, 3, "k"), ("b", 0, 10, 4, "l"), ("c", 0, 10, 9, "m")],
+        "customer_id string, month int, _start long, _n long, _key string").toArrow().to_batches()
+    assert [b.num_rows for b in shaping._month_events(iter(batch))] == [2, 1]
