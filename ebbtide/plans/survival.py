@@ -48,7 +48,14 @@ def long(df, *arrays):
     """Arrays as (unit, period, ...) rows, rounded."""
     rows = df.select("unit", F.posexplode(F.arrays_zip(*arrays)).alias("i", "r"))
     return rows.select("unit", (F.col("i") + 1).alias("period"), *[
-        F.round(f"r.{a}", 6).alias(a) for a in arrays])
+        round6(F.col(f"r.{a}")).alias(a) for a in arrays])
+
+
+def round6(x):
+    """As F.round(x, 6), which takes the decimal digits of every value, but by arithmetic away from ties."""
+    up = x * 1e6 + 0.5
+    near = (F.abs(x) < 1e6) & (F.abs(up - F.rint(up)) > 1e-3)
+    return F.when(near, F.floor(up) / F.lit(1e6)).otherwise(F.round(x, 6))
 
 
 @query("survival_data_check", "U1", """

@@ -143,7 +143,50 @@ def test_months_are_expanded_in_bounded_parts_and_not_by_a_lambda(spark, monkeyp
     again = months.select(F.explode("events").alias("e")).select("e.*")
     assert sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
     monkeypatch.setattr(shaping, "EVENTS", 8)
-    batch = months.select(F.lit(1)).sparkSession.createDataFrame(
+    batch = spark.createDataFrame(
         [("a", 0, 10, 3, "k"), ("b", 0, 10, 4, "l"), ("c", 0, 10, 9, "m")],
-        "customer_id string, month int, _start long, _n long, _key string").toArrow().to_batches()
+        "customer_id string, month int, _start long, _n long, _key string").toArrow().combine_chunks().to_batches()
     assert [b.num_rows for b in shaping._month_events(iter(batch))] == [2, 1]
+
+
+def test_curves_of_a_batch_are_those_of_each_row(spark, monkeypatch):
+    nan = float("nan")
+    rows = [(1, [0.1, 0.2, 0.3], [0.05, 0.9, 0.1]), (2, [0.1, None], [0.2, 0.3]), (3, None, [0.1]), (4, [], []),
+            (5, [0.1, 0.2], [0.3]), (6, [0.5], [0.25]), (7, [nan, 0.1], [0.1, 0.2]), (8, [0.7, -0.1, 0.0], [0.6, 0.2, 1.0])]
+    d = spark.createDataFrame(rows, "unit long, h array<double>, g array<double>").repartition(2)
+    got = survival.competing_curves(d, {1: "h", 2: "g"})
+    none = F.lit(None).cast("struct<survival: array<double>, cif_0: array<double>, cif_1: array<double>>")
+    assert got.filter("unit IN (1, 4, 6, 8)").select(survival._batch_curves("h", "g").alias("c")).filter(
+        "c IS NOT NULL").count() == 4
+    monkeypatch.setattr(survival, "_batch_curves", lambda *names: none)
+    want = survival.competing_curves(d, {1: "h", 2: "g"})
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rounding_by_arithmetic_is_rounding_by_digits(spark):
+    from ebbtide.plans.survival import round6
+    odd = [None, float("nan"), float("inf"), -0.0, 0.5e-6, 1.5e-6, 2.5e-6, -0.5e-6, 0.1234565, 1e7 + 0.1234567, 1e300]
+    d = spark.createDataFrame([(x,) for x in odd], "x double").union(
+        spark.range(20_000).select((uniform("r", "id") - 0.5) * 4)).union(
+        spark.range(2_000).select((F.col("id") * 10 + 5) / 1e7))
+    r = d.select(round6(F.col("x")).alias("a"), F.round("x", 6).alias("b"))
+    assert r.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+
+
+def test_fits_of_several_causes_read_the_units_once(spark, monkeypatch):
+    d = spark.range(300).select(F.col("id").alias("unit"), uniform("x", "id").alias("x"),
+                                (1 + F.col("id") % 9).cast("int").alias("duration"), (F.col("id") % 3).cast("int").alias("event"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = d.mapInArrow(count, d.schema)
+    m = survival.CompetingHazards(["x"], [1, 2], basis="spline").fit(counted)
+    assert seen.value == 300
+    for cause, model in m.models.items():
+        alone = survival.DiscreteHazard(["x"], basis="spline", cause=cause).fit(d)
+        assert np.allclose(model.model.model.theta, alone.model.model.theta)
